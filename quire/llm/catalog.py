@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing, repair
+from . import langid, packing, quality, repair, toxicity
 
-_MODULES = (repair, packing)
+_MODULES = (repair, toxicity, quality, langid, packing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
