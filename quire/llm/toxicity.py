@@ -24,8 +24,8 @@ from .tokens import in_slices
 
 #: Bytes of a window (it ends at the next white space, at twice this at most) and of the two dictionaries.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, THRESHOLD = 64, 16_384, 2048, 0.3
-#: A passage is learned as toxic if it starts with a byte gram of this length that is so many times as frequent in toxic
-#: documents as in ordinary ones, of which two more count as having it.
+#: A passage is learned as toxic if words with its first bytes, so many of them, are so many times as frequent in toxic
+#: documents as in ordinary ones, where two more count as found; a word counts once for each word before it.
 GRAM, TIMES, MORE = 5, 12, 2
 
 
@@ -105,6 +105,15 @@ def _spoken(text: str) -> list[bytes]:
     return [b" " + w for w in text.lower().encode("utf-8", "replace").split()]
 
 
+def _pairs(texts: list[str]) -> set[tuple[bytes, bytes]]:
+    """Distinct (word before, word) of all texts, so that copies of a text count once."""
+    return {pair for t in texts for w in [_spoken(t)] for pair in zip([b"", *w], w, strict=False)}
+
+
+def _beginnings(pairs: set[tuple[bytes, bytes]], k: int) -> Counter:
+    return Counter(w[:k] for _, w in pairs if len(w) >= k)
+
+
 def _stem(word: bytes, heard: Counter) -> bytes:
     """The word as far as more than half of the words that begin alike go on as it does."""
     k = GRAM
@@ -123,17 +132,19 @@ def train(sample: list[tuple[int, str, int]], prior: float = 0.15) -> Model:
     every = max(1, len(lo) // 20_000)
     ordinary = _trained([buf[a:b] for a, b in zip(lo[::every].tolist(), hi[::every].tolist(), strict=True)], ORDINARY_BYTES)
     # Half of the sample teaches the toxic passages, the other half calibrates.
-    heard, there, here, begun = toxic[0::2], Counter(), Counter(), Counter()
-    for t in plain:
-        there.update({w[:GRAM] for w in _spoken(t)})
-    for t in heard:
-        here.update({w[:GRAM] for w in _spoken(t)})
-    odd = {g for g, n in here.items() if len(g) == GRAM and n / len(heard) > TIMES * (there[g] + MORE) / len(plain)}
-    told = [w for t in heard for w in _spoken(t) if w[:GRAM] in odd]
+    heard, begun = toxic[0::2], Counter()
+    here, there = _pairs(heard), _pairs(plain)
+    rate = len(heard) / len(plain)
+    often = _beginnings(there, GRAM)
+    odd = {g for g, n in _beginnings(here, GRAM).items() if n > TIMES * rate * (often[g] + MORE)}
+    told = [w for _, w in here if w[:GRAM] in odd]
     for w in told:
         begun.update(w[:k] for k in range(GRAM, min(len(w), 32) + 1))
     stems = Counter(_stem(w, begun) for w in told)
-    passages = [p for p, n in stems.most_common() if n > 1] or list(stems)
+    for k in {len(p) for p in stems}:
+        often = _beginnings(there, k)
+        stems = Counter({p: n for p, n in stems.items() if len(p) != k or n > TIMES * rate * (often[p] + MORE)})
+    passages = [p for p, n in stems.most_common()]
     model = Model(ordinary, b"".join(passages)[:TOXIC_BYTES], np.zeros(6))
     rows, y = [], []
     gains = Gains(model)
