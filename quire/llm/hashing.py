@@ -63,10 +63,10 @@ class HashIndex:
 
     def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
         """New keys, each once."""
-        if 2 * (self.n + len(keys)) > self.mask:
+        if 1.5 * (self.n + len(keys)) > self.mask:
             full = self.keys != 0
             old = self.keys[full], self.rows[full]
-            self._room((4 * (self.n + len(keys))).bit_length())
+            self._room((2 * (self.n + len(keys))).bit_length())
             self.n = 0
             self.add(*old)
         self.n += len(keys)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .learning import adagrad_rows, char_ngrams, held_out, joined, labelled_sample, segment_sums
 from .store import table
-from .tokens import in_slices
+from .tokens import slices
 
 BITS, GRAMS, UNKNOWN = 14, (1, 2, 3), "und"
 #: Below this lead of the nearest codeword's probability over the next one's, a document is flagged as ambiguous.
@@ -121,10 +121,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in in_slices([len(t or "") for t in texts], 1 << 19):
-                lang, score, unsure = predict(texts[a:b], shared.value)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(lang), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
+            for part, texts in slices(batch, limit=1 << 19):
+                lang, score, unsure = predict(texts, shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import table
-from .tokens import encoder, in_slices, vocabulary, with_end
+from .tokens import encoder, slices, vocabulary, with_end
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -35,12 +35,11 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, longest: int = 2048) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, n = encoder(path), TaskContext.get().partitionId() << 33
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices([len(t or "") for t in texts], 1 << 20):
+            for part, texts in slices(batch):
                 out: list[tuple] = []
-                ids, counts = with_end(*tok.encode(texts[a:b]), end_id)
+                ids, counts = with_end(*tok.encode(texts), end_id)
                 view, at = memoryview(ids).cast("B"), 0
-                for d, total in zip(doc_ids[a:b], counts.tolist(), strict=True):
+                for d, total in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
                     start = 0
                     for k in pieces(total, longest):
                         out.append((d, start, k, view[4 * at : 4 * (at + k)], total, n, 0))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .learning import adagrad_rows, char_ngrams, held_out, joined, labelled_sample, segment_sums, word_ngrams
 from .store import table
-from .tokens import in_slices
+from .tokens import slices
 
 BITS, DIM, GRAMS, THRESHOLD = 17, 8, (3, 4), 0.7
 
@@ -95,8 +95,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = [scores(texts[a:b], weights, bias) for a, b in in_slices([len(t or "") for t in texts], 1 << 20)]
+            found = [scores(texts, weights, bias) for _, texts in slices(batch)]
             score = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 

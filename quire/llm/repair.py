@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import partitions, table, written
-from .tokens import encoder, in_slices, vocabulary, with_end
+from .tokens import encoder, slices, vocabulary, with_end
 
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIII")
@@ -178,10 +178,9 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             return out
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices([len(t or "") for t in texts], 1 << 20):
-                parts.append(with_end(*tok.encode(texts[a:b]), end_id))
-                held_ids += doc_ids[a:b]
+            for part_of, texts in slices(batch):
+                parts.append(with_end(*tok.encode(texts), end_id))
+                held_ids += part_of.column(0).to_pylist()
                 held += len(parts[-1][0])
                 if held >= shard_tokens:
                     yield flush()

@@ -14,6 +14,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .hashing import HashIndex, range_hashes
 
@@ -63,7 +65,7 @@ class Encoder:
 
     LONGEST_KEPT = 64
 
-    def __init__(self, path: str, max_units: int = 3_000_000):
+    def __init__(self, path: str, max_units: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -184,6 +186,14 @@ def in_slices(n_bytes: list[int], limit: int):
         yield start, len(n_bytes)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
+    """(slice of the batch, its texts): only one slice's texts are Python strings at a time."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for a, b in in_slices(sizes, limit):
+        yield batch.slice(a, b - a), texts.slice(a, b - a).to_pylist()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with ``end_id`` after each text's."""
     return np.insert(ids, np.cumsum(counts), end_id).astype("<u4"), counts + 1

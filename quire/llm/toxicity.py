@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .learning import held_out, joined, labelled_sample, segment_sums, words
 from .store import table
-from .tokens import in_slices
+from .tokens import in_slices, slices
 
 #: Bytes of a window (it ends at the next white space, at twice this at most) and of the two dictionaries.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, THRESHOLD = 64, 16_384, 2048, 0.3
@@ -182,10 +182,9 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
         model = shared.value
         gains = Gains(model)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in in_slices([len(t or "") for t in texts], 1 << 20):
-                s = scores(texts[a:b], model, gains)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            for part, texts in slices(batch):
+                s = scores(texts, model, gains)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
