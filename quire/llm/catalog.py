@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, langid, packing, quality, repair, toxicity
+from . import chat, contamination, jaccard, langid, neighbours, packing, pii, quality, repair, toxicity
 
-_MODULES = (repair, toxicity, chat, quality, langid, packing)
+_MODULES = (repair, toxicity, chat, quality, langid, packing, pii, jaccard, neighbours, contamination)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

@@ -58,7 +58,7 @@ def bounds(n: int, percent: int) -> tuple[int, int]:
     return n - need + 1 + extra, extra
 
 
-def _small(ids: DataFrame) -> DataFrame:
+def small(ids: DataFrame) -> DataFrame:
     """Broadcast if it has few rows, by count; else left to a shuffled join."""
     return F.broadcast(ids) if ids.count() <= SMALL else ids
 
@@ -88,7 +88,7 @@ def _fits(a, b, percent: int):
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar enough."""
     need = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    texts = docs.join(_small(need), "doc_id", "left_semi")
+    texts = docs.join(small(need), "doc_id", "left_semi")
     a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     rows = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
 
@@ -165,7 +165,7 @@ def _prefix_rows(docs: DataFrame, classes: DataFrame, common: np.ndarray, size:
                 rep, comp = (np.repeat(np.array(part.column(c).to_pylist(), np.int64), counts) for c in (0, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(rep), pa.array(comp)], ["token", "rep", "comp"])
 
-    rows = docs.join(_small(classes.select(F.col("rep").alias("doc_id"), "comp")), "doc_id").select("doc_id", "text", "comp")
+    rows = docs.join(small(classes.select(F.col("rep").alias("doc_id"), "comp")), "doc_id").select("doc_id", "text", "comp")
     return rows.mapInArrow(run, "token long, rep long, comp long")
 
 
@@ -215,7 +215,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     known = classes.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("n_least"))
     known = written(known.join(up, "rep", "left").select("rep", "n", "n_least", F.coalesce("comp", "rep").alias("comp")), "groups")
 
-    low = sets.join(_small(classes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select("low")
+    low = sets.join(small(classes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select("low")
     shared = _shared_tokens(_prefix_rows(docs, known, _common_tokens(low), size, percent))
     groups = known.groupBy("comp").agg(F.count("*").alias("members"))
     member = known.join(groups, "comp").withColumn("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / MEMBERS))).select("rep", "n", "n_least", "comp", "shard")

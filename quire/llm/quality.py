@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .learning import adagrad_rows, char_ngrams, held_out, joined, labelled_sample, segment_sums, word_ngrams
 from .store import table
@@ -83,24 +84,23 @@ def scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -30, 30)))
 
 
-def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= threshold).
+def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with a score (0 to 1) and a prediction (1 if score >= threshold), under ``names``.
 
     Null and empty texts get the bias's score.  Other columns pass through; columns
-    named score or predicted are replaced.
+    already named like that are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score", "predicted")
+    kept = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            found = [scores(texts, weights, bias) for _, texts in slices(batch)]
-            score = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            for part, texts in slices(batch):
+                score = scores(texts, weights, bias)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*part.schema.names, *names])
 
-    schema = kept.schema.add("score", "double").add("predicted", "int")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
