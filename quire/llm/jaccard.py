@@ -24,10 +24,10 @@ from .store import partitions, table, written
 from .tokens import slices
 
 #: Minimum hashes that propose groups, tokens beyond the prefix that sharpen the bound, and members of one group.
-ROUNDS, EXTRA, MEMBERS = 3, 3, 512
+ROUNDS, EXTRA, MEMBERS = 5, 3, 512
 #: Classes that share a token for it to come last in the order, and how many such tokens are told to the tasks (the
 #: order is a matter of speed: any is exact); rows of ids up to which a side is broadcast.
-COMMON, TOLD, SMALL = 24, 2_000_000, 2_000_000
+COMMON, TOLD, SMALL = 12, 2_000_000, 2_000_000
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -127,6 +127,18 @@ def components(links: DataFrame) -> DataFrame:
             return label.select("node", "root")
 
 
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with the components that ``links`` join under one label, but for long chains of them, whose parts stay apart."""
+    comp = known.select("rep", "comp")
+    ends = links.join(comp.withColumnsRenamed({"rep": "a", "comp": "ca"}), "a").join(comp.withColumnsRenamed({"rep": "b", "comp": "cb"}), "b")
+    both = written(ends.select("ca", "cb").union(ends.select("cb", "ca")).where("ca <> cb").distinct(), "joins")
+    up = written(both.groupBy(F.col("ca").alias("comp")).agg(F.min("cb").alias("to")).select("comp", F.least("comp", "to").alias("to")), "up")
+    for _ in range(3):
+        up = up.join(up.select(F.col("comp").alias("to"), F.col("to").alias("next")), "to", "left").select("comp", F.coalesce("next", "to").alias("to"))
+    up = written(up, "up")
+    return written(known.join(up, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to"), "groups")
+
+
 def _common_tokens(low: DataFrame) -> np.ndarray:
     """Tokens in the prefixes of more than COMMON classes; of too many the most frequent ones, by doubling COMMON."""
 
@@ -202,23 +214,20 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     least = [F.first(f"m{r}").alias(f"m{r}") for r in range(ROUNDS)]
     classes = written(whole.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"), *least), "classes")
 
-    def proposed(r: int) -> DataFrame:
-        lead = classes.groupBy(f"m{r}").agg(F.min(F.struct(F.col("rep").alias("b"), F.col("n").alias("nb"))).alias("lead"))
-        return classes.join(lead, f"m{r}").where(F.col("rep") != F.col("lead.b")).where(_fits(F.col("n"), F.col("lead.nb"), percent)).select(F.col("rep").alias("a"), F.col("lead.b").alias("b"))
-
-    pairs = written(reduce(DataFrame.union, [proposed(r) for r in range(ROUNDS)]).distinct(), "pairs")
-    links = _verified(docs, pairs, size, percent)
-    up = written(links.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("comp")), "up")
-    further = up.select(F.col("rep").alias("comp"), F.col("comp").alias("over"))
-    for _ in range(2):
-        up = up.join(further, "comp", "left").select("rep", F.coalesce("over", "comp").alias("comp"))
-    known = classes.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("n_least"))
-    known = written(known.join(up, "rep", "left").select("rep", "n", "n_least", F.coalesce("comp", "rep").alias("comp")), "groups")
+    known = classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("n_least"), *[F.min(f"m{r}").alias(f"m{r}") for r in range(ROUNDS)])
+    known = written(known.withColumn("comp", F.col("rep")), "groups")
+    links = []
+    for r in range(ROUNDS):  # a leader a minimum hash, another one each round; what is in one component already is not compared
+        order = F.struct(F.xxhash64("rep", F.lit(r)).alias("o"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("other"))
+        lead = known.groupBy(f"m{r}").agg(F.min(order).alias("lead"))
+        pairs = known.join(lead, f"m{r}").where("comp <> lead.other").where(_fits(F.col("n"), F.col("lead.nb"), percent)).select(F.col("rep").alias("a"), F.col("lead.b").alias("b"))
+        links.append(_verified(docs, written(pairs.distinct(), "pairs"), size, percent))
+        known = _merged(known, links[-1])
 
     low = sets.join(small(classes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select("low")
     shared = _shared_tokens(_prefix_rows(docs, known, _common_tokens(low), size, percent))
     groups = known.groupBy("comp").agg(F.count("*").alias("members"))
-    member = known.join(groups, "comp").withColumn("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / MEMBERS))).select("rep", "n", "n_least", "comp", "shard")
+    member = known.select("rep", "n", "n_least", "comp").join(groups, "comp").withColumn("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / MEMBERS))).select("rep", "n", "n_least", "comp", "shard")
     member = written(member.withColumn("extra", F.least(F.lit(EXTRA), F.ceil(F.col("n_least") * percent / 100) - 1)), "members")
     tokens = written(shared.join(member.drop("comp"), "rep"), "tokens")
     matrix = tokens.groupBy("token", F.col("comp").alias("g"), "shard").agg(F.min("extra").alias("g_extra"), F.min("n_least").alias("lo"), F.max("n").alias("hi"))
@@ -226,11 +235,15 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     meets = asked.join(matrix, "token").where("own <> g").where((F.col("nq") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("nq_least") * percent))
     found = meets.groupBy("q", "g", "shard").agg(F.count("*").alias("hits"), F.min("extra").alias("e"), F.min("g_extra").alias("ge"), F.first("nq").alias("nq"))
     opened = found.where(F.col("hits") >= 1 + F.least("e", "ge")).select("q", "nq", F.col("g").alias("comp"), "shard")
-    inside = opened.join(member, ["comp", "shard"]).where(_fits(F.col("nq"), F.col("n"), percent))
-    more = written(inside.select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct(), "pairs")
-    links = links.union(_verified(docs, more, size, percent))
-
-    root = components(links)
+    inside = written(opened, "opened").join(member, ["comp", "shard"]).where(_fits(F.col("nq"), F.col("n"), percent))
+    # One member of each opened group first: after that most are in one component, and only the others need all members.
+    one = inside.groupBy("q", "comp", "shard").agg(F.min_by("rep", F.xxhash64("q", "rep")).alias("rep"))
+    links.append(_verified(docs, written(one.select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct(), "pairs"), size, percent))
+    now = _merged(known, links[-1]).select("rep", F.col("comp").alias("now"))
+    left = inside.join(now, "rep").join(now.select(F.col("rep").alias("q"), F.col("now").alias("now_q")), "q").where("now <> now_q")
+    links.append(_verified(docs, written(left.select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct(), "pairs"), size, percent))
+
+    root = components(reduce(DataFrame.union, links))
     own = whole.select("doc_id", "n", "sig").distinct().join(classes.select("n", "sig", "rep"), ["n", "sig"]).join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
     own = own.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("root"))
     return sets.select("doc_id", "n").join(own, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
