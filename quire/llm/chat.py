@@ -7,6 +7,8 @@ and each path becomes one text with a loss mask over its assistant turns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,15 +38,23 @@ def _role(written_role: Column) -> Column:
     return unescaped(F.replace(written_role, F.lit(":\\s"), F.lit(COLON)))
 
 
-def _paths(nodes: DataFrame) -> list[DataFrame]:
-    """Rounds of pointer doubling: in round k ``jump`` is the ancestor 2^k up, ``depth`` and ``total`` cover the nodes up to it."""
-    rounds = [written(nodes.select("tree_id", "node_id", F.col("parent_id").alias("jump"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")), "paths")]
-    while len(rounds) <= MAX_ROUNDS and not rounds[-1].where("jump IS NOT NULL").isEmpty():
-        now = rounds[-1]
-        up = now.select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
-        on = now.join(up, ["tree_id", "jump"], "left")
-        rounds.append(written(on.select("tree_id", "node_id", F.col("next").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")), "paths"))
-    return rounds
+def _paths(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Rounds of pointer doubling, and the depth and path score of every node that has a root.
+
+    Round k holds the nodes with an ancestor 2^k up (``jump``); a node whose root is
+    reached is not joined again, so the rows of a round fall with the trees' depth.
+    """
+    columns = ["tree_id", "node_id", "jump", "depth", "total"]
+    state = written(nodes.select("tree_id", "node_id", F.col("parent_id").alias("jump"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")), "paths")
+    done, live, rounds = [state.where("jump IS NULL")], state.where("jump IS NOT NULL"), []
+    while len(rounds) <= MAX_ROUNDS and not live.isEmpty():
+        rounds.append(live)
+        up = reduce(DataFrame.union, [*done, live]).select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
+        on = live.join(up, ["tree_id", "jump"]).select("tree_id", "node_id", F.col("next").alias("jump"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"))
+        state = written(on.select(columns), "paths")
+        done.append(state.where("jump IS NULL"))
+        live = state.where("jump IS NOT NULL")
+    return rounds, reduce(DataFrame.union, done)
 
 
 def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
@@ -58,17 +68,17 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
     nodes = nodes.join(known, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id")))
     nodes = written(nodes.select("tree_id", "node_id", "parent_id", "score"), "nodes")
-    rounds = _paths(nodes)
+    rounds, rooted = _paths(nodes)
     replied = nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    leaves = rounds[-1].where("jump IS NULL").join(replied, ["tree_id", "node_id"], "left_anti")
+    leaves = rooted.join(replied, ["tree_id", "node_id"], "left_anti")
     leaves = leaves.withColumn("mean", F.col("total") / F.col("depth"))
     order = [F.desc("mean"), "node_id"]
     part = F.pmod(F.xxhash64("node_id"), F.lit(64))  # a tree's leaves are ranked in parts first
     leaves = leaves.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("tree_id", "part").orderBy(*order))).where(F.col("r") <= top)
     leaves = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree_id").orderBy(*order))).where(F.col("branch") <= top)
     members = written(leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "branch", "depth", "node_id", F.lit(0).cast("long").alias("up")), "members")
-    for k, step in enumerate(rounds[:-1]):
-        jumps = step.where("jump IS NOT NULL").select("tree_id", "node_id", "jump")
+    for k, step in enumerate(rounds):
+        jumps = step.select("tree_id", "node_id", "jump")
         further = members.join(jumps, ["tree_id", "node_id"]).select("tree_id", "leaf_id", "branch", "depth", F.col("jump").alias("node_id"), (F.col("up") + (1 << k)).alias("up"))
         members = written(members.unionByName(further), "members")
     return members.select("tree_id", "leaf_id", "branch", (F.col("depth") - F.col("up")).alias("pos"), "node_id")
