@@ -186,7 +186,7 @@ def in_slices(n_bytes: list[int], limit: int):
         yield start, len(n_bytes)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18):
     """(slice of the batch, its texts): only one slice's texts are Python strings at a time."""
     texts = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
