@@ -2,9 +2,167 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .functions import markdown as md
+from .operators.readers import read_files
+from .plans import layout, notes
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+
+def _t(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def html_notes(spark, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return notes.compose(read_files(pages)).select("path", "note", "warnings", "error")
+
+
+FLAGSHIP = html_notes
+QUERIES: dict = {"html_notes": html_notes}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+@query("escape_inline", r"SELECT doc_id, regexp_replace(text, '([\\`*_\[\]{}<>])', '\\\1', 'g') AS escaped FROM documents")
+def _(spark, d):
+    return _t(spark, d, "documents").select("doc_id", md.escape_inline(F.col("text")).alias("escaped"))
+
+
+@query("squash_spaces", r"SELECT doc_id, trim(regexp_replace(text, '[ \t\x{00A0}]+', ' ', 'g'), chr(10) || chr(32) || chr(9) || chr(13)) AS squashed FROM documents")
+def _(spark, d):
+    return _t(spark, d, "documents").select("doc_id", md.squash_spaces(F.col("text")).alias("squashed"))
+
+
+@query("yaml_value", r"""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^[A-Za-z0-9][A-Za-z0-9 ._/@+()–—-]*[A-Za-z0-9._/@+()]$') OR regexp_matches(p_name, '^[A-Za-z0-9]$') THEN p_name
+  WHEN p_name = '' THEN '""' ELSE '"' || replace(replace(p_name, '\', '\\'), '"', '\"') || '"' END AS yaml FROM part""")
+def _(spark, d):
+    return _t(spark, d, "part").select("p_partkey", md.yaml_value(F.col("p_name")).alias("yaml"))
+
+
+@query("heading_levels_clamped", "SELECT p_partkey, repeat('#', greatest(least(p_size, 6), 1)::INT) || ' ' || p_name AS line FROM part")
+def _(spark, d):
+    return _t(spark, d, "part").select("p_partkey", md.heading(F.col("p_size"), F.col("p_name")).alias("line"))
+
+
+@query("bullets", "SELECT n_nationkey, repeat('  ', n_regionkey::INT) || '- ' || n_name AS line, repeat('  ', n_regionkey::INT) || '1. ' || n_name AS ordered FROM nation")
+def _(spark, d):
+    return _t(spark, d, "nation").select("n_nationkey", md.bullet(F.col("n_regionkey"), F.col("n_name")).alias("line"), md.numbered(F.col("n_regionkey"), F.col("n_name")).alias("ordered"))
+
+
+@query("region_tables", """SELECT r_name, '| nation | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(n_name, '|', '\\|') || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS md
+  FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def _(spark, d):
+    j = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = j.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    grid = F.concat(F.array(F.array(F.lit("nation"), F.lit("key"))), F.transform("rows", lambda r: F.array(r["n_name"], r["n_nationkey"].cast("string"))))
+    return rows.select("r_name", grid.alias("grid")).select("r_name", F.array_join(md.table_lines(F.col("grid")), "\n").alias("md"))
+
+
+@query("timestamps", "SELECT event_id, printf('%02d:%02d:%02d', hour(ts), minute(ts), second(ts)) AS clock FROM events")
+def _(spark, d):
+    s = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    return _t(spark, d, "events").select("event_id", md.clock(s, F.lit(True)).alias("clock"))
+
+
+@query("column_letters", "SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS idx FROM lineitem")
+def _(spark, d):
+    ref = F.concat(F.char(F.col("l_linenumber") + 64), F.col("l_orderkey").cast("string"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", md.column_index(ref).alias("idx"))
+
+
+@query("serial_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def _(spark, d):
+    serial = (F.datediff(F.col("o_orderdate"), F.lit("1899-12-30").cast("date"))).cast("double")
+    return _t(spark, d, "orders").select("o_orderkey", md.serial_date(serial).alias("day"))
+
+
+@query("sizes", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN floor(n_chars / 1024.0 + 0.5)::BIGINT || ' KB' ELSE printf('%.1f', n_chars / 1048576.0) || ' MB' END AS size FROM documents")
+def _(spark, d):
+    return _t(spark, d, "documents").select("doc_id", md.describe_size(F.col("n_chars")).alias("size"))
+
+
+@query("html_title", "SELECT page_id, title FROM (SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS raw, trim(raw) AS title FROM pages)")
+def _(spark, d):
+    pages = _t(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    title = F.element_at(F.filter("frontmatter", lambda f: f["key"] == "title"), 1)["value"]
+    return read_files(pages).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("page_id"), title.alias("title"))
+
+
+@query("furniture_keys", "SELECT l_orderkey, lower(l_returnflag || l_linestatus) AS key FROM lineitem WHERE l_linenumber = 1")
+def _(spark, d):
+    return _t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", md.furniture_key(F.concat("l_returnflag", "l_linestatus", F.lit(" "), F.col("l_orderkey").cast("string"))).alias("key"))
+
+
+def _csv(spark, d, sep_of):
+    row = F.concat_ws("\u0001", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), F.col("c_mktsegment"))
+    rows = _t(spark, d, "customer").groupBy(F.pmod("c_custkey", F.lit(16)).alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("line")))), lambda r: r["line"]), "\n").alias("body"))
+    sep = F.element_at(F.array(*[F.lit(x) for x in ",;\t|"]), F.pmod("f", F.lit(4)).cast("int") + 1)
+    return rows.select("f", F.concat("f", F.lit(".csv")).alias("path"), F.encode(F.replace(F.concat(F.lit("key\u0001name\u0001segment\n"), "body"), F.lit("\u0001"), sep), "UTF-8").alias("content"))
+
+
+@query("csv_tables", """SELECT (c_custkey % 16) || '.csv' AS path, '| key | name | segment |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |', chr(10) ORDER BY c_custkey) AS markdown FROM customer GROUP BY c_custkey % 16""")
+def _(spark, d):
+    return read_files(_csv(spark, d, None)).select("path", "markdown")
+
+
+@query("asset_names", """WITH s AS (SELECT doc_id % 50 AS note, doc_id AS ord, sha1(text) AS sha FROM documents), f AS (SELECT note, sha, min(ord) AS first FROM s GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY first) AS n FROM f) SELECT s.note AS doc_id, s.ord, s.sha AS sha1, 'image-' || n.n || '-' || left(s.sha, 8) || '.png' AS name FROM s JOIN n USING (note, sha)""")
+def _(spark, d):
+    docs = _t(spark, d, "documents").select(F.pmod("doc_id", F.lit(50)).alias("doc_id"), F.col("doc_id").alias("ord"), F.lit("png").alias("ext"), F.encode("text", "UTF-8").alias("data"))
+    return notes.asset_names(docs)
+
+
+_FILES = "WITH f AS (SELECT source || '/' || lang || '/' || (doc_id % 37) || '.' || CASE doc_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'csv' ELSE 'eml' END AS path FROM documents), g AS (SELECT DISTINCT path FROM f)"
+
+
+def _files(spark, d):
+    ext = F.element_at(F.array(F.lit("html"), F.lit("csv"), F.lit("eml")), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+    return _t(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.pmod("doc_id", F.lit(37)).cast("string"), F.lit("."), ext).alias("path")).distinct()
+
+
+@query("source_links", _FILES + ", n AS (SELECT path, regexp_extract(path, '([^/]+)$', 1) AS name FROM g) SELECT path, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN path ELSE name END AS link FROM n")
+def _(spark, d):
+    return notes.source_links(_files(spark, d))
+
+
+@query("note_paths", _FILES + ", n AS (SELECT path, regexp_replace(path, '\\.[^.]*$', '') AS stem FROM g), r AS (SELECT path, stem, row_number() OVER (PARTITION BY stem ORDER BY path) AS k FROM n) SELECT path, stem || CASE WHEN k > 1 THEN ' ' || k ELSE '' END || '.md' AS note_path FROM r")
+def _(spark, d):
+    return notes.note_paths(_files(spark, d))
+
+
+def _lines(spark, d):
+    return _t(spark, d, "lineitem").select(F.pmod("l_orderkey", F.lit(40)).alias("doc_id"), F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 1000 + F.ascii("l_returnflag")).alias("line_ord"), F.concat("l_returnflag", F.lit(" "), F.col("l_orderkey").cast("string")).alias("text"), (F.col("l_quantity") / 4).alias("size"), F.lit(0.0).alias("left"), F.col("l_extendedprice").alias("right"), F.col("l_partkey"), "l_suppkey")
+
+
+@query("page_furniture", """WITH l AS (SELECT l_orderkey % 40 AS doc_id, l_orderkey AS page, lower(l_returnflag) AS key, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000 + ascii(l_returnflag))),
+  e AS (SELECT DISTINCT doc_id, page, key FROM l WHERE k <= 2 OR k > n - 2), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY 1)
+  SELECT doc_id, key, count(*) AS times FROM e JOIN p USING (doc_id) GROUP BY doc_id, key, pages HAVING count(*) >= greatest(3, ceil(pages / 2.0))""")
+def _(spark, d):
+    return layout.furniture(_lines(spark, d))
+
+
+@query("median_width", "WITH w AS (SELECT l_orderkey % 40 AS doc_id, l_extendedprice AS w, row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_extendedprice) AS r, count(*) OVER (PARTITION BY l_orderkey % 40) AS n FROM lineitem) SELECT doc_id, w AS median_width FROM w WHERE r = n // 2 + 1")
+def _(spark, d):
+    return layout.upper_median_width(_lines(spark, d))
+
+
+@query("gap_groups", """WITH l AS (SELECT event_id, user_id AS doc_id, epoch(ts) AS y0, epoch(ts) + 60 AS y1, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  g AS (SELECT *, CASE WHEN y0 - lag(y1) OVER (PARTITION BY doc_id ORDER BY k) > 1.5 * 3600 THEN 1 ELSE 0 END AS n FROM l) SELECT event_id, (sum(n) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS unit FROM g""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    e = _t(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = e.withColumn("line_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("us", "event_id")))
+    e = e.select("event_id", "doc_id", "line_ord", (F.col("us") / 1e6).alias("y0"), (F.col("us") / 1e6 + 60).alias("y1"), F.lit(3600.0).alias("lh"))
+    return layout.gap_groups(e).select("event_id", "unit")
