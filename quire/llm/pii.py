@@ -74,12 +74,13 @@ def matches(text: Column, pattern: str) -> Column:
             odd = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
             return F.transform(odd, lambda i: F.struct(at[i].alias("start"), (at[i] + F.length(parts[i])).alias("end"), parts[i].alias("hit"), F.right(parts[i - 1], F.lit(NEAR)).alias("before"), F.left(parts[i + 1], F.lit(NEAR)).alias("after")))
 
-        return F.when(F.size(parts) > 2, let(running(F.transform(parts, lambda p: F.length(p).cast("long"))), with_starts)).otherwise(_NONE)
+        return F.when(F.size(parts) > 2, let(running(F.transform(parts, lambda p: F.length(p).cast("long"))), with_starts)).otherwise(_none())
 
     return let(_cut(text, pattern), spans)
 
 
-_NONE = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>)")
+def _none() -> Column:
+    return F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>)")
 
 
 def digits(hit: Column) -> Column:
@@ -116,7 +117,7 @@ def _loose_wanted(text: Column, kind: str) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    return F.when(_wanted(text, kind), F.filter(matches(text, BASE[kind]), lambda m: passes(kind, m["hit"]))).otherwise(_NONE)
+    return F.when(_wanted(text, kind), F.filter(matches(text, BASE[kind]), lambda m: passes(kind, m["hit"]))).otherwise(_none())
 
 
 FEATURES = 9
@@ -243,7 +244,7 @@ def model(spark: SparkSession) -> tuple[Trees, dict[str, float]]:
 
 
 def _loose_spans(text: Column, kind: str, trees: Trees, least: float) -> Column:
-    return F.when(_loose_wanted(text, kind), F.filter(matches(text, LOOSE[kind]), lambda m: trees.column(features(kind, m)) >= least)).otherwise(_NONE)
+    return F.when(_loose_wanted(text, kind), F.filter(matches(text, LOOSE[kind]), lambda m: trees.column(features(kind, m)) >= least)).otherwise(_none())
 
 
 def detect(docs: DataFrame) -> DataFrame:
