@@ -4,7 +4,9 @@ Equal sets form one class.  Classes that agree on a minimum hash and are verifie
 as similar form groups.  The matrix holds each group's union of prefix tokens: under
 one order of all tokens, two similar sets share so many of their first tokens.  A
 class is a query against the matrix; a group is opened, its members compared on
-whole texts, only if the overlap found reaches that bound.
+whole texts, only if the overlap found reaches that bound.  Classes of which many
+share a minimum hash form one group, linked or not: its cells are opened for blocks
+of queries, whose links are found in one task without a row a pair.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .tokens import slices
 
 #: Minimum hashes that propose groups, tokens beyond the prefix that sharpen the bound, and members of one group.
 ROUNDS, EXTRA, MEMBERS = 5, 3, 512
+#: Classes that share a minimum hash from which they are a crowd, tokens of one cell of a crowd, and queries of one block.
+CROWD, CELL_TOKENS, BLOCK = 32, 1_000_000, 2048
 #: Classes that share a token for it to come last in the order, and how many such tokens are told to the tasks (the
 #: order is a matter of speed: any is exact); rows of ids up to which a side is broadcast.
 COMMON, TOLD, SMALL = 12, 2_000_000, 2_000_000
@@ -200,6 +204,63 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
     return written(rows.repartition(n, "token").mapInArrow(run, "token long, rep long, comp long"), "shared")
 
 
+def _crowds(known: DataFrame) -> DataFrame:
+    """rep, grp of the classes that share a minimum hash with CROWD classes or more: the largest such bucket."""
+    buckets = [known.select("rep", F.lit(r).alias("r"), F.col(f"m{r}").alias("m")) for r in range(ROUNDS)]
+    every = reduce(DataFrame.union, buckets)
+    large = written(every.groupBy("r", "m").count().where(F.col("count") >= CROWD), "crowds")
+    return written(every.join(small(large), ["r", "m"]).groupBy("rep").agg(F.max(F.struct("count", "r", "m")).alias("best")).select("rep", F.xxhash64("best.r", "best.m").alias("grp")), "crowded")
+
+
+def _cell_links(docs: DataFrame, asked: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: the links of each query (q, comp, cell) to the cell's members (rep, comp, cell) of other components, one a component.
+
+    A task takes one cell, of bounded members and tokens, and one block of queries at a time.
+    """
+    blocks = written(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    held = member.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("rep").alias("doc_id"), "comp")
+    query = asked.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("q"), F.col("blocks")).alias("block"), F.lit(1).alias("kind"), F.col("q").alias("doc_id"), "comp")
+    rows = written(held.union(query), "cells")
+    texts = docs.join(small(rows.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = rows.join(texts.hint("merge"), "doc_id").select("cell", "block", "kind", "doc_id", "comp", "text")
+    rows = rows.repartition(partitions(docs.sparkSession), "cell", "block").sortWithinPartitions("cell", "block", "kind", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, ids, comps, index = None, [], [], [], None
+        for batch in batches:
+            for part, texts in slices(batch):
+                left, right = [], []
+                cols = [part.column(c).to_pylist() for c in range(5)]
+                for cell, block, kind, d, comp, s in zip(*cols, shingle_sets(texts, size), strict=True):
+                    if (cell, block) != at:
+                        at, sets, ids, comps, index = (cell, block), [], [], [], None
+                    if kind == 0:
+                        sets.append(s)
+                        ids.append(d)
+                        comps.append(comp)
+                        continue
+                    if index is None:
+                        sizes = np.array([len(x) for x in sets], np.int64)
+                        tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                        order = np.argsort(tokens, kind="stable")
+                        index = tokens[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, np.array(comps, np.int64)
+                        sets = sets[:0]
+                    tokens, owner, sizes, owners = index
+                    if not len(s) or (owners == comp).all():
+                        continue
+                    lo = np.searchsorted(tokens, s)
+                    n = np.searchsorted(tokens, s, "right") - lo
+                    spots = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both = np.bincount(owner[spots], minlength=len(sizes))
+                    near = np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (owners != comp))
+                    near = near[np.unique(owners[near], return_index=True)[1]]
+                    left += [d] * len(near)
+                    right += [ids[k] for k in near.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return written(rows.mapInArrow(run, "a long, b long"), "links")
+
+
 def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -226,18 +287,21 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     low = sets.join(small(classes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select("low")
     shared = _shared_tokens(_prefix_rows(docs, known, _common_tokens(low), size, percent))
-    groups = known.groupBy("comp").agg(F.count("*").alias("members"))
-    member = known.select("rep", "n", "n_least", "comp").join(groups, "comp").withColumn("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / MEMBERS))).select("rep", "n", "n_least", "comp", "shard")
+    known = written(known.join(_crowds(known), "rep", "left").withColumn("crowd", F.col("grp").isNotNull()).withColumn("grp", F.coalesce("grp", "comp")), "groups")
+    groups = known.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / CELL_TOKENS)).alias("shards"))
+    member = known.join(groups, "grp").withColumn("cell", F.xxhash64("grp", F.pmod(F.xxhash64("rep"), F.col("shards")))).select("rep", "n", "n_least", "comp", "crowd", "cell")
     member = written(member.withColumn("extra", F.least(F.lit(EXTRA), F.ceil(F.col("n_least") * percent / 100) - 1)), "members")
     tokens = written(shared.join(member.drop("comp"), "rep"), "tokens")
-    matrix = tokens.groupBy("token", F.col("comp").alias("g"), "shard").agg(F.min("extra").alias("g_extra"), F.min("n_least").alias("lo"), F.max("n").alias("hi"))
+    matrix = tokens.groupBy("token", "cell").agg(F.min("extra").alias("g_extra"), F.min("n_least").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.max("crowd").alias("crowd"))
     asked = tokens.select("token", F.col("rep").alias("q"), F.col("comp").alias("own"), F.col("n").alias("nq"), F.col("n_least").alias("nq_least"), "extra")
-    meets = asked.join(matrix, "token").where("own <> g").where((F.col("nq") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("nq_least") * percent))
-    found = meets.groupBy("q", "g", "shard").agg(F.count("*").alias("hits"), F.min("extra").alias("e"), F.min("g_extra").alias("ge"), F.first("nq").alias("nq"))
-    opened = found.where(F.col("hits") >= 1 + F.least("e", "ge")).select("q", "nq", F.col("g").alias("comp"), "shard")
-    inside = written(opened, "opened").join(member, ["comp", "shard"]).where(_fits(F.col("nq"), F.col("n"), percent))
+    meets = asked.join(matrix, "token").where("own <> c_lo OR own <> c_hi").where((F.col("nq") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("nq_least") * percent))
+    found = meets.groupBy("q", "cell").agg(F.count("*").alias("hits"), F.min("extra").alias("e"), F.min("g_extra").alias("ge"), F.first("nq").alias("nq"), F.first("own").alias("own"), F.max("crowd").alias("crowd"))
+    opened = written(found.where(F.col("hits") >= 1 + F.least("e", "ge")).select("q", "nq", "own", "cell", "crowd"), "opened")
+    links.append(_cell_links(docs, opened.where("crowd").select("q", F.col("own").alias("comp"), "cell"), member.select("rep", "comp", "cell"), size, percent))
+    known = _merged(known, links[-1])
+    inside = opened.where("NOT crowd").join(member.drop("crowd"), "cell").where(_fits(F.col("nq"), F.col("n"), percent))
     # One member of each opened group first: after that most are in one component, and only the others need all members.
-    one = inside.groupBy("q", "comp", "shard").agg(F.min_by("rep", F.xxhash64("q", "rep")).alias("rep"))
+    one = inside.groupBy("q", "cell").agg(F.min_by("rep", F.xxhash64("q", "rep")).alias("rep"))
     links.append(_verified(docs, written(one.select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct(), "pairs"), size, percent))
     now = _merged(known, links[-1]).select("rep", F.col("comp").alias("now"))
     left = inside.join(now, "rep").join(now.select(F.col("rep").alias("q"), F.col("now").alias("now_q")), "q").where("now <> now_q")

@@ -97,7 +97,12 @@ def test_pii_spans(spark, monkeypatch):
     assert [r.text for r in out] == ["please call [PHONE] now, [EMAIL]", "order 123-456-7890"]
 
 
-def test_jaccard_components(spark):
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_jaccard_components(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    if crowd == 2:
+        monkeypatch.setattr(jaccard, "MEMBERS", 3)
+        monkeypatch.setattr(jaccard, "BLOCK", 4)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(400)]
     data = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for k in range(60)]
