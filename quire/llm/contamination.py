@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .hashing import mix, range_hashes
 from .learning import joined
-from .store import table
+from .store import arrow_map, table
 from .tokens import slices
 
 #: Words in a seed; an n-gram in at most this share of documents is rare (an item without rare ones keeps its rarest);
@@ -105,7 +105,7 @@ def _frequencies(docs: DataFrame, seeds: np.ndarray) -> dict[int, int]:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["k", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = arrow_map(docs.select("text"), run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     return {r["k"]: r["n"] for r in counts.collect()}
 
 
@@ -159,7 +159,7 @@ def _alignments(docs: DataFrame, items: list[tuple[int, np.ndarray]], chosen: li
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "item_id", "score", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, start long, end long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, item_id long, score double, start long, end long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .hashing import mix, range_hashes
 from .learning import joined, words
-from .store import partitions, table, written
+from .store import arrow_map, partitions, table, written
 from .tokens import slices
 
 #: Minimum hashes that propose groups, tokens beyond the prefix that sharpen the bound, and members of one group.
@@ -82,7 +82,7 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * ROUNDS, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
-    return written(docs.mapInArrow(run, schema), "sets")
+    return written(arrow_map(docs, run, schema), "sets")
 
 
 def _fits(a, b, percent: int):
@@ -114,7 +114,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
                     keep.append(len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(rows.mapInArrow(run, "a long, b long"), "links")
+    return written(arrow_map(rows, run, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def _common_tokens(low: DataFrame) -> np.ndarray:
             for at in range(0, batch.num_rows, 512):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).slice(at, 512).to_pylist()), np.int64))], ["token"])
 
-    counts = written(low.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > COMMON), "common")
+    counts = written(arrow_map(low, run, "token long").groupBy("token").count().where(F.col("count") > COMMON), "common")
     least = COMMON
     while counts.where(F.col("count") > least).count() > TOLD:
         least *= 2
@@ -182,7 +182,7 @@ def _prefix_rows(docs: DataFrame, classes: DataFrame, common: np.ndarray, size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(rep), pa.array(comp)], ["token", "rep", "comp"])
 
     rows = docs.join(small(classes.select(F.col("rep").alias("doc_id"), "comp")), "doc_id").select("doc_id", "text", "comp")
-    return rows.mapInArrow(run, "token long, rep long, comp long")
+    return arrow_map(rows, run, "token long, rep long, comp long")
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, rep, comp)], ["token", "rep", "comp"])
 
     n = partitions(rows.sparkSession)
-    return written(rows.repartition(n, "token").mapInArrow(run, "token long, rep long, comp long"), "shared")
+    return written(arrow_map(rows.repartition(n, "token"), run, "token long, rep long, comp long"), "shared")
 
 
 def _crowds(known: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def _cell_links(docs: DataFrame, asked: DataFrame, member: DataFrame, size: int,
                     right += [ids[k] for k in near.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return written(rows.mapInArrow(run, "a long, b long"), "links")
+    return written(arrow_map(rows, run, "a long, b long"), "links")
 
 
 def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import adagrad_rows, char_ngrams, held_out, joined, labelled_sample, segment_sums
-from .store import table
+from .store import arrow_map, table
 from .tokens import slices
 
 BITS, GRAMS, UNKNOWN = 14, (1, 2, 3), "und"
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, unsure = predict(texts, shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def fitted(docs: DataFrame) -> Model:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import table, written
+from .store import arrow_map, table, written
 
 #: Widths of the error bound; at 4 a true neighbour's lower bound is too high about once in 10,000 times.
 EPSILON, QUERY_BLOCK = 4.0, 4096
@@ -60,7 +60,7 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
             code = np.packbits(o > 0, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(own), batch.column(1)], ["vec_id", "code", "norm", "own", "embedding"])
 
-    index = rows.mapInArrow(run, "vec_id long, code binary, norm double, own double, embedding array<double>")
+    index = arrow_map(rows, run, "vec_id long, code binary, norm double, own double, embedding array<double>")
     return written(index, "codes"), centre, turn
 
 
@@ -110,7 +110,7 @@ def _search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, centre: np.n
         row, _ = np.nonzero(full)
         yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(held_i[full]), pa.array(held_d[full])], ["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+    return arrow_map(index, run, "query_id long, vec_id long, score double")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

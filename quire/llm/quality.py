@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .learning import adagrad_rows, char_ngrams, held_out, joined, labelled_sample, segment_sums, word_ngrams
-from .store import table
+from .store import arrow_map, table
 from .tokens import slices
 
 BITS, DIM, GRAMS, THRESHOLD = 17, 8, (3, 4), 0.7
@@ -100,7 +100,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
                 score = scores(texts, weights, bias)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*part.schema.names, *names])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
+    return arrow_map(kept, run, T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import partitions, table, written
+from .store import arrow_map, partitions, table, written
 from .tokens import encoder, slices, vocabulary, with_end
 
 MAGIC = b"RPG1"
@@ -200,7 +200,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
     run, schema = _shards(path, end_id, shard_tokens)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.crc32(F.coalesce("text", F.lit("")))).sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))), "text")
-    return written(rows.mapInArrow(run, schema), "repair")
+    return written(arrow_map(rows, run, schema), "repair")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_id, pa.int64(), mask=shard.null.astype(bool)), pa.array(first + ends - shard.n_tokens), pa.array(shard.n_tokens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = shards.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("first"), "payload")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_ids(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import held_out, joined, labelled_sample, segment_sums, words
-from .store import table
+from .store import arrow_map, table
 from .tokens import in_slices, slices
 
 #: Bytes of a window (it ends at the next white space, at twice this at most) and of the two dictionaries.
@@ -186,7 +186,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
                 s = scores(texts, model, gains)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, predicted int")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
