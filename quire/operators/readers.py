@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import delimited, html_render, mail, notebook, subtitles
+from ..sources import book, delimited, html_render, mail, notebook, sheets, slides, subtitles, word
 
 READERS: dict[str, Callable] = {}
 
@@ -25,6 +25,10 @@ register_reader("mhtml mht", mail.read_mhtml)
 register_reader("eml", mail.read_eml)
 register_reader("vtt srt", lambda data, save: subtitles.read_subtitles(data))
 register_reader("ipynb", notebook.read_notebook)
+register_reader("docx docm", word.read_docx)
+register_reader("pptx pptm", slides.read_pptx)
+register_reader("xlsx xlsm", sheets.read_xlsx)
+register_reader("epub", book.read_epub)
 register_reader("csv", lambda data, save: delimited.read_delimited(data))
 register_reader("tsv", lambda data, save: delimited.read_delimited(data, "\t"))
 
