@@ -48,7 +48,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, longest: int = 2048) -> Da
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA, holds="encoder")
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

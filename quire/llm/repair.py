@@ -200,7 +200,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
     run, schema = _shards(path, end_id, shard_tokens)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.crc32(F.coalesce("text", F.lit("")))).sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))), "text")
-    return written(arrow_map(rows, run, schema), "repair")
+    return written(arrow_map(rows, run, schema, holds="encoder"), "repair")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

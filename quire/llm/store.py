@@ -34,10 +34,16 @@ def give_back() -> None:
         pass
 
 
-def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose tasks end by giving freed memory back."""
+#: What a worker process keeps for its next tasks of the same kind, by kind.
+HELD: dict[str, dict] = {}
+
+
+def arrow_map(df: DataFrame, run: Callable, schema, holds: str = "") -> DataFrame:
+    """``mapInArrow`` whose tasks end by giving freed memory back; only objects of the kind ``holds`` outlive other work."""
 
     def task(batches):
+        for kind in [k for k in HELD if k != holds]:
+            del HELD[kind]
         try:
             yield from run(batches)
         finally:

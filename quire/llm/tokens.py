@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .hashing import HashIndex, range_hashes
+from .store import HELD
 
 LETTER, DIGIT, PUNCT, SPACE, WHITE, OTHER, EDGE = range(7)
 _CLASS = np.full(256, OTHER, np.uint8)
@@ -158,14 +159,12 @@ class Encoder:
         return ids, np.diff(upto[unit_of_edge])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and vocabulary, kept for the worker's next tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder a worker process and vocabulary, kept until the worker turns to tasks that do not hold "encoder"."""
+    kept = HELD.setdefault("encoder", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
