@@ -154,6 +154,44 @@ def test_contamination_finds_edited_copies(spark):
     assert got[1, 7] == 1.0 and 0.6 <= got[2, 7] < 1 and len(got) == 2
 
 
+def _contaminated(docs, items, least=0.6):
+    words = lambda t: contamination.word_hashes([t])[0]
+    for d, t in docs:
+        for i, x in items:
+            w = words(x)
+            if len(w) >= 3 and contamination.align(w, words(t))[0] >= least * 2 * len(w):
+                yield d, i
+
+
+def test_contamination_of_frequent_edited_copies(spark):
+    rng = random.Random(11)
+    w = lambda n: [f"{rng.choice('bcdfgk')}{rng.randrange(5000)}" for _ in range(n)]
+    item, other = w(40), w(40)
+    edited = ["zzz" if k in (4, 12, 20, 28, 36) else x for k, x in enumerate(item)]
+    docs = [(k, " ".join(w(5) + edited + w(5))) for k in range(60)] + [(100 + k, " ".join(w(3) + other)) for k in range(60)]
+    docs += [(200, " ".join("zzz" if k in (4, 12, 20, 28, 36) else x for k, x in enumerate(other))), (201, " ".join(x for pair in zip(item[::2], item[1::2], strict=True) for x in (*pair, "zzz"))), (202, " ".join(w(50)))]
+    items = [(7, " ".join(item)), (8, " ".join(other))]
+    got = [(r.doc_id, r.item_id) for r in contamination.contaminated(rows(spark, docs), rows(spark, items, "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(_contaminated(docs, items)) and {(0, 7), (200, 8), (201, 7)} <= set(got)
+
+
+def test_contamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    w = lambda n: [f"w{int(rng.random() ** 3 * 300)}" for _ in range(n)]
+    items = [(k, w(n)) for k, n in enumerate([3, 4, 5, 5, 6, 7, 9, 15, 20, 40, 41, 60] * 2)]
+    docs = []
+    for d in range(400):
+        copy = []
+        for x in rng.choice(items)[1]:
+            r = rng.random()
+            copy += w(1) if r < 0.1 else [] if r < 0.15 else [x, *w(1)] if r < 0.4 else [x]
+        docs.append((d, " ".join(w(rng.randrange(30)) + copy + w(rng.randrange(30)))))
+    items = [(k, " ".join(x)) for k, x in items]
+    got = [(r.doc_id, r.item_id) for r in contamination.contaminated(rows(spark, docs), rows(spark, items, "item_id long, text string")).collect()]
+    want = sorted(_contaminated(docs, items))
+    assert sorted(got) == want and len(want) > 300
+
+
 def test_align():
     a = np.array([1, 2, 3, 4], np.uint64)
     assert contamination.align(a, np.array([9, 1, 2, 9, 3, 4, 9], np.uint64)) == (7, 1, 6)
