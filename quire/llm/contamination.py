@@ -22,9 +22,9 @@ from .learning import joined
 from .store import arrow_map, table
 from .tokens import slices
 
-#: Words of the shortest item; an n-gram in at most this share of documents is rare; seeds of one item kept;
-#: least alignment score as a share of an exact copy's; benchmark items a pass; (seed, item) pairs handled at once.
-SHORTEST, RARE, KEPT, SCORE, ITEMS, PAIRS = 3, 1e-3, 64, 0.6, 20_000, 4_000_000
+#: Words of the shortest item; an n-gram in at most this share of documents is rare; least alignment
+#: score as a share of an exact copy's; benchmark items and characters a pass; (seed, item) pairs handled at once.
+SHORTEST, RARE, SCORE, ITEMS, CHARS, PAIRS = 3, 1e-3, 0.6, 20_000, 8_000_000, 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = np.zeros(256, bool)
 for _b in range(256):
@@ -72,7 +72,7 @@ def chosen_seeds(g: np.ndarray, n_of: np.ndarray, rare: float, agree: int) -> tu
     need = agree - (int(lost[out - 1]) if out else 0)
     kept = order[out:]
     kept = kept[n_of[kept] > 0]
-    return (seeds[kept], need) if len(kept) <= KEPT else (seeds[kept[::-1][:KEPT]], 1)
+    return seeds[kept], need
 
 
 def _found(h: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,12 +220,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
     Words are runs of ASCII letters, digits and bytes beyond ASCII, in lower case.
     start and end are byte offsets in the lower-case UTF-8 text.  Items of fewer than
     SHORTEST words, null items and null texts match nothing; a repeated row matches again;
-    equal items are reported each.  The benchmark is taken in blocks of ITEMS items,
-    which bounds what is broadcast; each block is compared with all documents.
+    equal items are reported each.  The benchmark is taken in blocks of about ITEMS
+    items or CHARS characters, which bounds what is broadcast; each block is compared with all documents.
     """
-    n = benchmark.count()
+    n, chars = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     n_docs = docs.count()
-    blocks = -(-n // ITEMS)
+    blocks = max(-(-n // ITEMS), -(-chars // CHARS))
     part = F.pmod(F.xxhash64("item_id"), F.lit(max(blocks, 1)))
     found = None
     for b in range(blocks):

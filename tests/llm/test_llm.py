@@ -192,6 +192,17 @@ def test_contamination_equals_brute_force(spark):
     assert sorted(got) == want and len(want) > 300
 
 
+@pytest.mark.parametrize("chars", [8_000_000, 900])
+def test_contamination_of_long_items(spark, monkeypatch, chars):
+    monkeypatch.setattr(contamination, "CHARS", chars)
+    rng = random.Random(13)
+    w = lambda n: [f"{rng.choice('bcdfgk')}{rng.randrange(5000)}" for _ in range(n)]
+    texts = {k: w(150) for k in range(4)}
+    docs = [(k, " ".join(w(5) + [x if i % 6 else "zzz" for i, x in enumerate(t)] + w(5))) for k, t in texts.items()]
+    got = [(r.doc_id, r.item_id, round(r.score, 2)) for r in contamination.contaminated(rows(spark, docs), rows(spark, [(k, " ".join(t)) for k, t in texts.items()], "item_id long, text string")).collect()]
+    assert sorted((d, i) for d, i, _ in got) == [(k, k) for k in range(4)] and {s for *_, s in got} <= {0.75, 0.76}
+
+
 def test_align():
     a = np.array([1, 2, 3, 4], np.uint64)
     assert contamination.align(a, np.array([9, 1, 2, 9, 3, 4, 9], np.uint64)) == (7, 1, 6)
