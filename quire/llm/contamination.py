@@ -170,19 +170,19 @@ def _candidates(hit: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarra
         begin = end
 
 
-def _alignments(docs: DataFrame, items: list[tuple[int, np.ndarray]], chosen: list[tuple[np.ndarray, int]], sizes: list[int], least: float) -> DataFrame:
+def _alignments(docs: DataFrame, items: list[tuple[int, np.ndarray]], chosen: list[tuple[np.ndarray, int]], whole: list[tuple[int, int, np.ndarray]], sizes: list[int], least: float) -> DataFrame:
     seeds = np.concatenate([s for s, _ in chosen])
     order = np.argsort(seeds, kind="stable")
     owners = np.repeat(np.arange(len(chosen)), [len(s) for s, _ in chosen])[order]
     keys, at = np.unique(seeds[order], return_index=True)
-    shared = docs.sparkSession.sparkContext.broadcast((items, keys, np.append(at, len(owners)), owners, np.array([n for _, n in chosen])))
+    shared = docs.sparkSession.sparkContext.broadcast((items, whole, keys, np.append(at, len(owners)), owners, np.array([n for _, n in chosen])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, keys, at, owners, need = shared.value
+        items, whole, keys, at, owners, need = shared.value
         for batch in batches:
             for part, texts in slices(batch):
                 h, starts, ends, first, last, begin = word_hashes(texts)
-                ids, rows = part.column(0).to_pylist(), []
+                ids, rows, here = part.column(0).to_pylist(), [], {size: grams(h, size) for size in sizes}
                 for d, k, pos in _candidates(*_found(h, first, last, keys, sizes), at, owners, need):
                     item, words = items[k]
                     span, full = 2 * len(words), MATCH * len(words)
@@ -194,8 +194,14 @@ def _alignments(docs: DataFrame, items: list[tuple[int, np.ndarray]], chosen: li
                         if b - a + 1 < need[k]:
                             a = b + 1
                             continue
-                        # A passage of one window's seeds cannot score more than its words allow; long runs are cut with overlap.
                         lo, stop = max(int(first[d]), pos[a] - span), min(int(last[d]), pos[b] + SHORTEST + span)
+                        # An alignment costs far more than a count of all the item's n-grams, frequent ones too.
+                        size, agree, own = whole[k]
+                        near = here[size][lo : max(lo, stop - size + 1)]
+                        if (own[np.minimum(np.searchsorted(own, near), len(own) - 1)] == near).sum() < agree:
+                            a = b + 1
+                            continue
+                        # A passage of one window's seeds cannot score more than its words allow; long runs are cut with overlap.
                         while lo < stop:
                             hi = min(stop, lo + 64 * len(words) + 512)
                             score, x, y = align(words, h[lo:hi])
@@ -240,7 +246,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
         chosen = [chosen_seeds(g, times[np.searchsorted(seeds, g)], max(RARE * n_docs, 50), agree) for g, (_, agree) in zip(held, sized, strict=True)]
         if not any(len(s) for s, _ in chosen):
             continue
-        one = _alignments(docs, items, chosen, sizes, least)
+        whole = [(size, agree, np.unique(g)) for g, (size, agree) in zip(held, sized, strict=True)]
+        one = _alignments(docs, items, chosen, whole, sizes, least)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start long, end long")
