@@ -99,12 +99,16 @@ def _(spark, d):
     return read_files(pages).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("page_id"), title.alias("title"))
 
 
-@query("furniture_keys", "SELECT l_orderkey, lower(l_returnflag || l_linestatus) AS key FROM lineitem WHERE l_linenumber = 1")
+_KEY = r"array_to_string(list_sort([x FOR x IN string_split_regex(regexp_replace(lower({0}), '[0-9]+', '', 'g'), '[\s\x0B\x{{A0}}]+') IF x <> '']), ' ')"
+
+
+@query("furniture_keys", "SELECT l_orderkey, l_linenumber, " + _KEY.format("'Page' || l_partkey || 'of ' || l_returnflag || l_linestatus || ' ' || l_orderkey") + " AS key FROM lineitem")
 def _(spark, d):
-    return _t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", md.furniture_key(F.concat("l_returnflag", "l_linestatus", F.lit(" "), F.col("l_orderkey").cast("string"))).alias("key"))
+    text = F.concat(F.lit("Page"), F.col("l_partkey").cast("string"), F.lit("of "), "l_returnflag", "l_linestatus", F.lit(" "), F.col("l_orderkey").cast("string"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", md.furniture_key(text).alias("key"))
 
 
-def _csv(spark, d, sep_of):
+def _csv(spark, d):
     row = F.concat_ws("\u0001", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), F.col("c_mktsegment"))
     rows = _t(spark, d, "customer").groupBy(F.pmod("c_custkey", F.lit(16)).alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("line")))), lambda r: r["line"]), "\n").alias("body"))
     sep = F.element_at(F.array(*[F.lit(x) for x in ",;\t|"]), F.pmod("f", F.lit(4)).cast("int") + 1)
@@ -113,7 +117,7 @@ def _csv(spark, d, sep_of):
 
 @query("csv_tables", """SELECT (c_custkey % 16) || '.csv' AS path, '| key | name | segment |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |', chr(10) ORDER BY c_custkey) AS markdown FROM customer GROUP BY c_custkey % 16""")
 def _(spark, d):
-    return read_files(_csv(spark, d, None)).select("path", "markdown")
+    return read_files(_csv(spark, d)).select("path", "markdown")
 
 
 @query("asset_names", """WITH s AS (SELECT doc_id % 50 AS note, doc_id AS ord, sha1(text) AS sha FROM documents), f AS (SELECT note, sha, min(ord) AS first FROM s GROUP BY 1, 2),

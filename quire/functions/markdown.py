@@ -95,13 +95,13 @@ def describe_size(n: Column) -> Column:
 def image_format(data: Column) -> Column:
     """By its first bytes; null under 12 bytes or if unknown."""
     starts = lambda hexed, at=1: F.hex(F.substring(data, at, len(hexed) // 2)) == hexed
-    found = F.when(starts("FFD8FF"), "jpg").when(starts("89504E47"), "png").when(starts("47494638"), "gif").when(starts("424D"), "bmp").when(starts("52494646") & starts("57454250", 9), "webp").when(starts("49492A00") | starts("4D4D002A"), "tiff")
+    found = F.when(starts("FFD8FF"), "jpg").when(starts("89504E470D0A1A0A"), "png").when(starts("474946"), "gif").when(starts("424D"), "bmp").when(starts("52494646") & starts("57454250", 9), "webp").when(starts("49492A00") | starts("4D4D002A"), "tiff")
     return F.when(F.length(data) >= 12, found)
 
 
 def furniture_key(text: Column) -> Column:
     """Lower case without digits, words sorted: equal for a running title on every page."""
-    words = F.split(F.regexp_replace(F.lower(text), "[0-9]+", " "), f"[{WS}]+")
+    words = F.split(F.regexp_replace(F.lower(text), "[0-9]+", ""), f"[{WS}]+")
     return F.array_join(F.array_sort(F.filter(words, lambda w: w != "")), " ")
 
 

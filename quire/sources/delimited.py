@@ -74,7 +74,7 @@ def sniff(text: str) -> str:
 
 
 def looks_like_data(row: list[str]) -> bool:
-    return all(re.fullmatch(r"-?[\d.,]+%?|\d{4}-\d{2}-\d{2}([T ].*)?", c.strip(WS), re.A) for c in row if c.strip(WS))
+    return all(re.fullmatch(r"-?[0-9.,%$€£\s]+", c.strip(WS)) or re.match(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", c.strip(WS)) for c in row if c.strip(WS))
 
 
 def read_delimited(data: bytes, forced: str | None = None) -> dict:

@@ -154,8 +154,9 @@ def _page(html: str, parts: list[Part], save, furniture: bool) -> tuple[list[str
 def _message(message: Part, save, warnings: list[str], depth: int) -> list[str]:
     out: list[str] = []
     if depth:
-        out += [heading(min(depth + 1, 6), escape_inline("Forwarded: " + (message.header("subject") or "(no subject)"))), ""]
-        out += [f"- **{k.title()}:** {escape_inline(v)}" for k in ("from", "to", "date") if (v := message.header(k))] + [""]
+        subject = message.header("subject")
+        out += [heading(min(depth + 1, 6), "Forwarded message" + (f": {escape_inline(subject)}" if subject else "")), ""]
+        out += [f"**{k.title()}:** {escape_inline(v)}" for k in ("from", "to", "date") if (v := message.header(k))] + [""]
     body, other = choose_body(message)
     placed: set = set()
     if body is not None and body.kind == "text/html":
@@ -163,6 +164,10 @@ def _message(message: Part, save, warnings: list[str], depth: int) -> list[str]:
         out += lines
     elif body is not None:
         out += _plain(body.text())
+    else:
+        warnings.append("The message has no text body")
+    if other is not None:
+        warnings.append("The HTML version was converted, as the plain text is a stub" if body.kind == "text/html" else "The plain text was converted; there is an HTML version too")
     named = []
     for p in message.leaves():
         if p is body or p is other or id(p) in placed:
@@ -199,5 +204,5 @@ def read_mhtml(data: bytes, save=lambda data, ext: None) -> dict:
     if kinds:
         warnings.append("Parts not converted: " + ", ".join(kinds))
     url = message.header("snapshot-content-location") or page.header("content-location")
-    front = [("title", message.header("subject")), ("url", url), ("saved", message.header("date"))]
-    return {"markdown": join_blocks(titled(lines, message.header("subject"))), "warnings": warnings, "frontmatter": [(k, v) for k, v in front if v]}
+    front = [("url", url), ("saved", message.header("date"))]
+    return {"markdown": join_blocks(lines), "warnings": warnings, "frontmatter": [(k, v) for k, v in front if v]}

@@ -12,7 +12,8 @@ from .html_tree import parse_html
 from .lines import WS, escape_inline, fence, heading, join_blocks
 
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]")
-_SHORT = {"png": "image/png", "jpeg": "image/jpeg", "svg": "image/svg+xml", "html": "text/html", "text": "text/plain", "latex": "text/latex", "json": "application/json", "javascript": "application/javascript"}
+#: The third format's short output names, and image types in order of preference.
+_SHORT = {"text": "text/plain", "html": "text/html", "svg": "image/svg+xml", "png": "image/png", "jpeg": "image/jpeg", "latex": "text/latex"}
 _IMAGES = {"image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/svg+xml": "svg"}
 
 
@@ -39,16 +40,17 @@ class _Notebook:
                 if embed := self.image(b[mime], mime):
                     return [embed]
                 self.unsaved += 1
-        if "text/markdown" in b:
-            return [text_of(b["text/markdown"]).strip(WS)]
+                break
+        if said := text_of(b.get("text/markdown")).strip(WS):
+            return [said]
         if "text/html" in b:
             doc = parse_html(text_of(b["text/html"]))
             lines = Renderer().lines(next(doc.all("body"), doc))
             if any(x.strip(WS) for x in lines):
                 return lines
-        if "text/plain" in b:
+        if text_of(b.get("text/plain")).strip(WS):
             return fence(_ANSI.sub("", text_of(b["text/plain"])))
-        self.dropped.update(b)
+        self.dropped.update(k for k in b if k != "text/plain")
         return []
 
     def output(self, o: dict) -> list[str]:
@@ -93,6 +95,8 @@ def read_notebook(data: bytes, save=lambda data, ext: None) -> dict:
     cells = book.get("cells")
     if not isinstance(cells, list):
         cells = [c for w in book.get("worksheets") or [] for c in _record(w).get("cells") or []]
+    if not cells:
+        raise ValueError("the notebook has no cells")
     meta = _record(book.get("metadata"))
     kernel, info = _record(meta.get("kernelspec")), _record(meta.get("language_info"))
     n = _Notebook(save)

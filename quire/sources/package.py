@@ -10,6 +10,10 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 
+#: Bytes that one part may inflate to.
+LARGEST = 1 << 28
+
+
 def tag(e) -> str:
     return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
 
@@ -39,7 +43,11 @@ class Package:
         self.names = {n.lstrip("/"): n for n in self.zip.namelist()}
 
     def read(self, path: str | None) -> bytes | None:
-        return self.zip.read(self.names[path]) if path in self.names else None
+        if path not in self.names:
+            return None
+        if self.zip.getinfo(self.names[path]).file_size > LARGEST:
+            raise ValueError(f"{path} is too large")
+        return self.zip.read(self.names[path])
 
     def xml(self, path: str | None):
         """The part's root element; None if it is absent or broken."""

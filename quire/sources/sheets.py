@@ -40,13 +40,13 @@ def read_xlsx(data: bytes, save=lambda data, ext: None, hidden: bool = False) ->
         if root is None:
             gaps["missing"].append(name)
             continue
-        done += 1
-        if is_hidden:
-            gaps["hidden" if hidden else "needed"].append(name)
         rows, embeds = sheet_rows(root, shared, formats), _images(package, path, save)
         if not rows and not embeds:
             gaps["empty"].append(name)
             continue
+        done += 1
+        if is_hidden:
+            gaps["hidden" if hidden else "needed"].append(name)
         out.extend([f"## {name}", "", *table([[escape_inline(c) for c in r] for r in rows]), "", *(x for e in embeds for x in (e, ""))])
     said = {"skipped": "Hidden sheets left out", "empty": "Empty sheets", "missing": "Sheets without a part", "needed": "Hidden sheets kept, as visible ones read them", "hidden": "Hidden sheets kept"}
     warnings = [f"{said[k]}: " + ", ".join(map(escape_inline, names)) for k, names in gaps.items() if names]
@@ -136,8 +136,8 @@ def _value(c, shared: list[str], formats: list) -> str:
         return shared[int(raw)] if raw.strip().isdigit() and int(raw) < len(shared) else ""
     if kind == "b":
         return "TRUE" if raw.strip() == "1" else "FALSE"
-    style = c.get("s", "")
-    if kind in ("e", "str") or not raw or not style.isdigit() or int(style) >= len(formats):
+    style = c.get("s", "0")
+    if kind in ("e", "str") or not raw:
         return raw
     try:
         number = float(raw)
@@ -145,7 +145,7 @@ def _value(c, shared: list[str], formats: list) -> str:
         return raw
     if not math.isfinite(number):
         return raw
-    form = formats[int(style)]
+    form = formats[int(style)] if style.isdigit() and int(style) < len(formats) else GENERAL
     return (iso_date(number) or raw) if form[0] == "date" else format_number(number, form)
 
 

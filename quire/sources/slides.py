@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .html_render import _wrap
-from .lines import SPACES, WS, escape_inline, join_blocks, table
+from .lines import SPACES, WS, escape_inline, join_blocks, squash, table
 from .package import Package, attr, every, image, kid, kids, tag
 
 MAIN = "ppt/presentation.xml"
@@ -68,7 +68,7 @@ def _placeholder(shape) -> str:
 
 def _body(body, links: dict, kind: str) -> list[str]:
     shown = [(p, t) for p in kids(body, "p") if (t := _text(p, links))]
-    listed = kind in ("body", "subTitle") or len(shown) > 1
+    listed = kind in ("body", "subTitle") or len(kids(body, "p")) > 1
     out: list[str] = []
     for p, text in shown:
         props = kid(p, "pPr")
@@ -95,4 +95,4 @@ def _text(p, links: dict, plain: bool = False) -> str:
             target = links.get(attr_id(link), ("", ""))[1] if link is not None else ""
             text = f"[{text}]({target})" if target and text.strip(WS) else text
         out.append(text)
-    return "".join(out).strip(WS)
+    return squash("".join(out))

@@ -121,11 +121,11 @@ def parse_track(text: str) -> dict:
             continue
         at = next((j for j, x in enumerate(lines) if "-->" in x), None)
         m = TIMING.match(lines[at]) if at is not None else None
+        track["cues"] += at is not None
         if not m or seconds(m.groups()[4:]) < seconds(m.groups()[:4]):
             track["malformed"].append(lines[at if at is not None else 0])
             continue
         named = next((n[1].strip(WS) for x in lines[:at] if (n := re.match(r'.*"([^"]+)"\s*\(\d+\)\s*$', x))), None)
-        track["cues"] += 1
         track["turns"] += cue_turns(lines[at + 1 :], recurring, seconds(m.groups()[:4]), seconds(m.groups()[4:]), named)
     track["turns"].sort(key=lambda t: t.start)
     return track
@@ -161,14 +161,16 @@ def clock(s: float, hours: bool) -> str:
 
 def read_subtitles(data: bytes) -> dict:
     track = parse_track(decode_text(data))
-    if not track["turns"]:
+    if not track["cues"] and not track["malformed"]:
         raise ValueError("the track holds no cues")
-    last = max(t.end for t in track["turns"])
+    last = max((t.end for t in track["turns"]), default=0)
     out = [heading(1, escape_inline(track["title"])), ""] if track["title"] else []
-    for p in paragraphs(track["turns"]) if not track["chapters"] else []:
-        out += [f"**[{clock(p['start'], last >= 3600)}]" + (f" {escape_inline(p['speaker'])}:" if p["speaker"] else "") + f"** {p['text']}", ""]
-    for t in track["turns"] if track["chapters"] else []:
-        out += [heading(2, f"{t.text} ({clock(t.start, last >= 3600)})"), ""]
+    for p in paragraphs(track["turns"]):
+        at = clock(p["start"], last >= 3600)
+        if track["chapters"]:
+            out += ["", f"## {at} {p['text']}", ""]
+        else:
+            out += [f"**{at}" + (f" {escape_inline(p['speaker'])}:" if p["speaker"] else "") + f"** {p['text']}", ""]
     warnings = []
     if track["malformed"]:
         bad = [x if len(x) <= 60 else x[:60] + "…" for x in track["malformed"]]
@@ -178,5 +180,5 @@ def read_subtitles(data: bytes) -> dict:
     if track["styles"]:
         warnings.append(f"{track['styles']} style or region block(s) left out")
     speakers = list(dict.fromkeys(t.speaker for t in track["turns"] if t.speaker))
-    front = [("cues_converted", f"{track['cues'] - len(track['malformed'])}/{track['cues']}"), ("duration", clock(last, True)), ("language", track["language"]), ("speakers", ", ".join(speakers))]
+    front = [("cues_converted", f"{track['cues'] - len(track['malformed'])}/{track['cues']}"), ("duration", clock(last, True) if last > 0 else ""), ("language", track["language"]), ("speakers", ", ".join(speakers))]
     return {"markdown": join_blocks(out), "warnings": warnings, "frontmatter": [(k, v) for k, v in front if v]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .html_render import _wrap
-from .lines import WS, escape_inline, heading, join_blocks, table
+from .lines import WS, escape_inline, heading, join_blocks, squash, table
 from .package import Package, attr, every, image, kid, kids, tag
 
 MAIN = "word/document.xml"
@@ -42,7 +42,7 @@ class _Document:
         props = kid(p, "pPr")
         style = kid(props, "pStyle")
         style = attr(style, "val", "") if style is not None else ""
-        m = re.match(r"heading\s*(\d)", style, re.I)
+        m = re.fullmatch(r"heading\s*([0-9])", style, re.I)
         level = {"title": 1, "subtitle": 2}.get(style.lower()) or (int(m[1]) if m else None)
         if level:
             return ["", heading(level, text.replace("\n", " ")), ""]
@@ -66,7 +66,7 @@ class _Document:
                 out.append(f"[{text}]({target})" if target and text.strip(WS) else text)
             elif t in ("ins", "smartTag", "sdt"):
                 out.append(self.runs(e))
-        return "".join(out)
+        return squash("".join(out))
 
     def run(self, r) -> str:
         text, embeds = "", ""

@@ -1,11 +1,15 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
-from quire import catalog
+from quire import catalog, catalog_files, catalog_layout  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -13,14 +17,26 @@ def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-    ours = catalog.QUERIES[name](spark, SF).toPandas()
-    theirs = con.sql(catalog.ORACLE_SQL[name]).df()
+    ours = catalog.QUERIES[name](spark, SF).toPandas().convert_dtypes()
+    theirs = con.sql(catalog.ORACLE_SQL[name]).df().convert_dtypes()
     cols = sorted(ours.columns)
     assert cols == sorted(theirs.columns)
-    assert sorted(map(str, ours[cols].itertuples(index=False, name=None))) == sorted(map(str, theirs[cols].itertuples(index=False, name=None)))
+    rows = lambda df: sorted(str([None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r]) for r in df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None))
+    assert rows(ours) == rows(theirs)
 
 
 def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 50
+
+
+def test_the_rest_stands_without_the_training_data_folders(tmp_path):
+    for name in ("quire", "__spark_entry__.py"):
+        src = os.path.join(ROOT, name)
+        (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
+    shutil.rmtree(tmp_path / "quire" / "llm")
+    (tmp_path / "quire" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+    assert done.stdout.split() == [str(len(catalog.QUERIES)), "False"]

@@ -37,7 +37,7 @@ def test_unclosed_bold_is_reconstructed_three_deep():
 
 def test_subtitles():
     got = subtitles.read_subtitles(b"WEBVTT\n\n00:01.000 --> 00:02.000\n<v Bob>Hello\n\n00:02.500 --> 00:03.000\n<v Bob>again\n\n00:09.000 --> 00:10.000\n<v Bob>later\n")
-    assert got["markdown"] == "**[00:01] Bob:** Hello again\n\n**[00:09] Bob:** later"
+    assert got["markdown"] == "**00:01 Bob:** Hello again\n\n**00:09 Bob:** later"
     assert subtitles.appended("one two three four", "three four five") == "one two three four three four five"
     assert subtitles.appended("and then the cat sat down", "the cat sat down again") == "and then the cat sat down again"
 
