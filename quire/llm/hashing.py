@@ -27,10 +27,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+#: Bytes of data whose running sums and powers are held at a time (a longer range is one of its own).
+CHUNK = 1 << 19
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each ``data[start:end]`` (bytes), by content and length alone."""
+    """A hash of each ``data[start:end]`` (bytes), by content and length alone; starts must not fall."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > CHUNK:
+        part = starts // CHUNK
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        if len(cut) > 2:
+            return np.concatenate([range_hashes(data[starts[a] : ends[a:b].max()], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
     up, down = _powers(len(data))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

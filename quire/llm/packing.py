@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from .store import arrow_map, table
 from .tokens import encoder, slices, vocabulary, with_end
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket long"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def pieces(n: int, longest: int) -> list[int]:
@@ -24,7 +26,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, longest: int = 2048) -> Da
     """One row a sequence: a power-of-two piece of one document with its ids (little-endian unsigned 32-bit).
 
     A sequence holds exactly one piece, so its offset is 0, it needs no padding and
-    its length names its bucket.  Null and empty texts hold ``end_id`` alone; a
+    its bucket is its length; ``write_buckets`` keeps the buckets apart in files.  Null and empty texts hold ``end_id`` alone; a
     repeated row is packed again; other columns are not read.  Sequence ids are
     unique and depend only on how the input is partitioned, so a rerun task gives
     the same ones.
@@ -38,26 +40,27 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, longest: int = 2048) -> Da
             for part, texts in slices(batch):
                 out: list[tuple] = []
                 ids, counts = with_end(*tok.encode(texts), end_id)
-                view, at = memoryview(ids).cast("B"), 0
                 for d, total in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
                     start = 0
                     for k in pieces(total, longest):
-                        out.append((d, start, k, view[4 * at : 4 * (at + k)], total, n, 0))
-                        start, at, n = start + k, at + k, n + 1
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                        out.append((d, start, k, total, n, 0, k))
+                        start, n = start + k, n + 1
+                cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                # The pieces follow one another in ids, so their ends are the column's offsets.
+                ends = np.append(0, 4 * np.cumsum(cols[2].to_numpy())).astype(np.int32)
+                cols.insert(3, pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends), pa.py_buffer(ids)]))
+                yield pa.RecordBatch.from_arrays(cols, NAMES)
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA, holds="encoder")
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """A folder for each length, so that a reader's batch holds sequences of one length."""
-    packed.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+    """A folder for each bucket, so that a reader's batch holds sequences of one length and needs no padding."""
+    packed.write.partitionBy("bucket").parquet(path)
 
 
 def digests(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -61,12 +61,13 @@ def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to unsigned 32-bit ids; null counts as the empty text.
 
-    ``max_units`` bounds the units remembered between batches, not what is encoded.
+    ``max_units`` and ``max_ids`` bound what is remembered between batches (about 20
+    and 4 bytes each, in arrays that never grow), not what is encoded.
     """
 
     LONGEST_KEPT = 64
 
-    def __init__(self, path: str, max_units: int = 1_200_000):
+    def __init__(self, path: str, max_units: int = 1_000_000, max_ids: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -75,30 +76,30 @@ class Encoder:
         kind = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("type")
         if kind != "ByteLevel":
             raise ValueError(f"{path}: a byte-level BPE is needed, not {kind}")
-        self.bare = Tokenizer.from_file(path)
-        self.bare.encode_special_tokens = True
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.split, self.whole = self.tokenizer.pre_tokenizer, pre_tokenizers.Sequence([])
         self.letters = _byte_letters()
         self.vocab = self.tokenizer.get_vocab_size()
-        self.max_units = max_units
+        self.max_units, self.max_ids = max_units, max_ids
+        self.flat, self.at, self.n_ids = np.zeros(max_ids, np.uint32), np.zeros(max_units, np.int32), np.zeros(max_units, np.int32)
         self._forget()
 
     def _forget(self) -> None:
-        self.index = HashIndex(18)
-        self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.n_ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.index = HashIndex((2 * self.max_units).bit_length())
+        self.n_flat = 0
 
     def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units one after another, and how many each has."""
         counts, out = np.zeros(len(units), np.int64), [np.zeros(0, np.uint32)] * len(units)
         plain = [k for k, u in enumerate(units) if _SIMPLE.fullmatch(u)]
+        self.tokenizer.pre_tokenizer = self.whole
         for i in range(0, len(plain), 512):
             rows = plain[i : i + 512]
-            e = self.bare.encode([units[k].decode("latin1").translate(self.letters) for k in rows], is_pretokenized=True, add_special_tokens=False)
+            e = self.tokenizer.encode([units[k].decode("latin1").translate(self.letters) for k in rows], is_pretokenized=True, add_special_tokens=False)
             ids, n = np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(rows))
             for k, part in zip(rows, np.split(ids, np.cumsum(n)[:-1]), strict=True):
                 out[k] = part
             counts[rows] = n
+        self.tokenizer.pre_tokenizer = self.split
         rest = sorted(set(range(len(units))) - set(plain))
         for i in range(0, len(rest), 512):
             for k, e in zip(rest[i : i + 512], self.tokenizer.encode_batch([units[k].decode("utf-8") for k in rest[i : i + 512]], add_special_tokens=False), strict=True):
@@ -107,21 +108,21 @@ class Encoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        ids, n = self._ids(units)
+        """Remembers as many of the units as there is room for."""
+        room = min(self.max_units - self.index.n, len(units))
+        ids, n = self._ids(units[:room])
+        while room and self.n_flat + len(ids) > self.max_ids:
+            ids, n, room = ids[: len(ids) - int(n[room // 2 :].sum())], n[: room // 2], room // 2
         first = self.index.n
-        while self.n_flat + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while first + len(n) > len(self.at):
-            self.at, self.n_ids = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.n_ids))
         self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.at[first : first + len(n)] = self.n_flat + np.cumsum(n) - n
-        self.n_ids[first : first + len(n)] = n
+        self.at[first : first + room] = self.n_flat + np.cumsum(n) - n
+        self.n_ids[first : first + room] = n
         self.n_flat += len(ids)
-        self.index.add(keys, np.arange(first, first + len(n), dtype=np.int32))
+        self.index.add(keys[:room], np.arange(first, first + room, dtype=np.int32))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
-        if self.index.n > self.max_units:
+        if self.index.n >= self.max_units or self.n_flat >= self.max_ids - 1000:
             self._forget()
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         data = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0", np.uint8)
@@ -146,8 +147,8 @@ class Encoder:
                 short = first[~long]
                 self._learn(fresh[~long], [buf[a:b] for a, b in zip(starts[short].tolist(), ends[short].tolist(), strict=True)])
                 rows[new] = self.index.find(keys[new])
-                extra = np.flatnonzero(rows < 0).tolist()  # long units are encoded each time, by their bytes
-        at, n, flat = self.at[rows], self.n_ids[rows], self.flat
+                extra = np.flatnonzero(rows < 0).tolist()  # long units, and those without room, are encoded each time, by their bytes
+        at, n, flat = self.at[rows].astype(np.int64), self.n_ids[rows].astype(np.int64), self.flat
         if extra:
             buf = data.tobytes()
             ids, counts = self._ids([buf[starts[k] : ends[k]] for k in extra])
