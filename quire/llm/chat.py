@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pii import let, running
 from .store import table, written
 
 HEAD, COLON, TAIL = "### ", ": ", "</turn>"
@@ -57,14 +58,25 @@ def _paths(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return rounds, reduce(DataFrame.union, done)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with tree_id in a struct, which is not null where the id is, so that joins and groups keep that tree."""
+    return rows.withColumn("tree_id", F.struct(F.col("tree_id").alias("id")))
+
+
+def _unkeyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tree_id", F.col("tree_id.id"))
+
+
 def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """tree_id, leaf_id, branch (1 is best), pos (1 is the root) and node_id of the ``top`` best root-to-leaf paths of each tree.
 
     ``nodes``: tree_id, node_id, parent_id, score; node_id is unique in its tree and
     not null, a parent_id that no node has makes a root, a null score counts 0.
     Branches rank by mean score, then by smaller leaf_id.  Nodes on a cycle have no
-    path.  An empty input gives no rows.
+    path.  Nodes with a null tree_id are one tree, whose id is null.  An empty input
+    gives no rows.
     """
+    nodes = _keyed(nodes)
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
     nodes = nodes.join(known, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id")))
     nodes = written(nodes.select("tree_id", "node_id", "parent_id", "score"), "nodes")
@@ -81,7 +93,7 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         jumps = step.select("tree_id", "node_id", "jump")
         further = members.join(jumps, ["tree_id", "node_id"]).select("tree_id", "leaf_id", "branch", "depth", F.col("jump").alias("node_id"), (F.col("up") + (1 << k)).alias("up"))
         members = written(members.unionByName(further), "members")
-    return members.select("tree_id", "leaf_id", "branch", (F.col("depth") - F.col("up")).alias("pos"), "node_id")
+    return _unkeyed(members.select("tree_id", "leaf_id", "branch", (F.col("depth") - F.col("up")).alias("pos"), "node_id"))
 
 
 def format_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -89,13 +101,14 @@ def format_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``nodes``: tree_id, node_id, role, text; null roles and texts count as empty.
     """
-    turns = paths.join(nodes.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
+    turns = _keyed(paths).join(_keyed(nodes.select("tree_id", "node_id", "role", "text")), ["tree_id", "node_id"])
     turn = F.struct("pos", _header(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), (F.coalesce("role", F.lit("")) == "assistant").alias("learn"))
     out = turns.groupBy("tree_id", "leaf_id", "branch").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     size = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(TAIL) + 1
-    ends = F.aggregate("turns", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,learn:boolean>>").alias("spans")), lambda a, t: F.struct((a["at"] + size(t)).alias("at"), F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(t["head"])).alias("start"), (a["at"] + F.length(t["head"]) + F.length(t["body"])).alias("end"), t["learn"].alias("learn")))).alias("spans")))["spans"]
+    placed = lambda t, at: F.struct((at + F.length(t["head"])).cast("int").alias("start"), (at + F.length(t["head"]) + F.length(t["body"])).cast("int").alias("end"), t["learn"].alias("learn"))
+    ends = let(running(F.transform("turns", lambda t: size(t).cast("long"))), lambda at: F.transform("turns", lambda t, i: placed(t, at[i])))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(TAIL + "\n"))), "")
-    return out.select("tree_id", "leaf_id", "branch", text.alias("formatted"), F.transform(F.filter(ends, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["end"])).alias("loss"))
+    return _unkeyed(out).select("tree_id", "leaf_id", "branch", text.alias("formatted"), F.transform(F.filter(ends, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["end"])).alias("loss"))
 
 
 def parse(formatted: Column) -> Column:
