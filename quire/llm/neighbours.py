@@ -10,6 +10,7 @@ vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,15 @@ def rotation(dim: int, seed: int = 17) -> np.ndarray:
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """vec_id and embedding (array of double) of the vectors that take part.
 
-    Left out: null ids and vectors, zero vectors, null or non-finite components,
-    and vectors whose length is not the table's most frequent one (of equally
-    frequent ones the largest).
+    Left out: null ids and vectors, zero vectors, null or non-finite components.
     """
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
-    rows = rows.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists("embedding", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    return rows.where(F.size("embedding") == (sizes["dim"] if sizes else 0))
+    return rows.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists("embedding", lambda x: x != 0))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Arrays of one length, without nulls, as rows."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
 def build_index(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -51,9 +53,9 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-            if not len(x):
+            if not batch.num_rows:
                 continue
+            x = _matrix(batch.column(1))
             o = (x - centre) @ turn
             norm = np.sqrt((o**2).sum(1))
             own = np.abs(o).sum(1) / np.maximum(norm, 1e-300) / np.sqrt(o.shape[1])
@@ -81,10 +83,10 @@ def _search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, centre: np.n
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                vid = np.array(part.column(0).to_pylist(), np.int64)
+                vid = part.column(0).to_numpy()
                 bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(vid), -1), axis=1)[:, :dim]
-                norm, own = np.array(part.column(2).to_pylist()), np.maximum(np.array(part.column(3).to_pylist()), 1e-9)
-                x = np.array(part.column(4).to_pylist(), float).reshape(len(vid), dim)
+                norm, own = part.column(2).to_numpy(), np.maximum(part.column(3).to_numpy(), 1e-9)
+                x = _matrix(part.column(4))
                 signs = (2.0 * bits - 1) / np.sqrt(dim)
                 for a in range(0, len(qid), 512):
                     inner = norm[:, None] / own[:, None] * (signs @ rotated[a : a + 512].T)
@@ -120,7 +122,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     never its own neighbour (nor any row with its id).  Queries are taken in blocks
     of about ``QUERY_BLOCK``, each against every row.  Equal distances rank by vec_id;
     with fewer than ``k`` candidates all are returned; repeated ids stay apart rows.
+    Vectors are compared with those of their own length, each length on its own.
     """
+    size = F.size("embedding")
+    sizes = sorted(r[0] for r in rows.select(size.alias("n")).distinct().collect())
+    if len(sizes) > 1:
+        parts = [nearest(rows.where(size == n), queries.where(size == n), k) for n in sizes]
+        return reduce(DataFrame.unionByName, parts)
     index, centre, turn = build_index(rows)
     blocks = -(-queries.count() // QUERY_BLOCK)
     part = F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1)))
