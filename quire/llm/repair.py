@@ -25,32 +25,31 @@ MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIII")
 
 
-def _narrow(base: int, rules: int) -> bool:
-    return base + rules <= 1 << 16
-
-
 def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = np.sort(key)
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
-def compress(ids: np.ndarray, doc_lengths: np.ndarray, base: int, rounds: int = 5, least: int = 24, max_rules: int = 15_000, a_round: int = 6_000):
+def compress(ids: np.ndarray, doc_lengths: np.ndarray, base: int, least: int = 8, pays: float = 1 / 128, a_round: int = 6_000):
     """Symbols, symbols per document and rules (pairs; rule r is symbol ``base + r``) of one shard.
 
-    A round replaces every pair that occurs ``least`` times or more, the most
+    A round replaces the ``a_round`` most frequent pairs among those that occur
+    ``least`` times or more (a rule costs 8 bytes, an occurrence saves 2 or 4), the most
     frequent first where two share a slot; of overlapping occurrences the left one.
+    Rounds go on until none of these pairs is left, or one takes less than the share
+    ``pays`` off the symbols; rules, until a symbol of their width is left for no other.
     """
-    symbol, key_type, half = (np.uint16, np.uint32, 16) if _narrow(base, max_rules) else (np.uint32, np.uint64, 32)
+    max_rules = (1 << 16) - base if base < 1 << 16 else (1 << 31) - base
+    symbol, key_type, half = (np.uint16, np.uint32, 16) if base < 1 << 16 else (np.uint32, np.uint64, 32)
     seq = ids.astype(symbol)
     ends = np.zeros(len(seq), bool)  # the last symbol of a document
     lengths = doc_lengths.astype(np.int64)
     ends[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
     n_rules, bits = 0, 17
-    for _ in range(rounds):
-        if len(seq) < 2 or n_rules >= max_rules:
-            break
+    while len(seq) > 1 and n_rules < max_rules:
+        before = len(seq)
         key = (seq[:-1].astype(key_type) << key_type(half)) | seq[1:]
         inner = ~ends[:-1]
         pairs, counts = _counted(key[inner])
@@ -79,6 +78,8 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, base: int, rounds: int =
         seq, ends = seq[keep], ends[keep]
         rules.append(np.stack([(pairs >> key_type(half)), pairs & key_type((1 << half) - 1)], 1).astype(symbol))
         n_rules += len(pairs)
+        if before - len(seq) < pays * before:
+            break
     table_ = np.concatenate(rules) if rules else np.zeros((0, 2), symbol)
     per_doc = np.zeros(len(lengths), np.int64)
     per_doc[lengths > 0] = np.diff(np.concatenate(([0], np.flatnonzero(ends) + 1)))
@@ -148,17 +149,36 @@ class Shard:
     def span(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start:stop`` of the shard's document ``k``, expanding only the symbols that hold them."""
         s = self.symbols[self.at[k] : self.at[k + 1]].astype(np.int64)
-        ends = np.cumsum(self._flat()[2][s])
+        ends = np.cumsum(self._lengths(s))
         start, stop = max(start, 0), min(stop, int(ends[-1]) if len(ends) else 0)
         if start >= stop:
             return np.zeros(0, "<u4")
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skip = start - (int(ends[a - 1]) if a else 0)
-        return self.expand(s[a:b])[skip : skip + stop - start]
+        return self._walk(s[a:b].tolist(), skip, stop - start)
+
+    def _lengths(self, symbols: np.ndarray) -> np.ndarray:
+        rule = symbols - self.base
+        return np.where(rule >= 0, self.lengths[np.maximum(rule, 0)] if len(self.lengths) else 1, 1)
+
+    def _walk(self, symbols: list[int], skip: int, n: int) -> np.ndarray:
+        """``n`` ids of the expansion after the first ``skip``: down the rules, past those that end before it."""
+        out, todo = [], symbols[::-1]
+        while todo and len(out) < n:
+            s = todo.pop()
+            size = int(self.lengths[s - self.base]) if s >= self.base else 1
+            if size <= skip:
+                skip -= size
+            elif s >= self.base:
+                a, b = self.rules[s - self.base].tolist()
+                todo += [b, a]
+            else:
+                out.append(s)
+        return np.array(out, "<u4")
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
-    schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("least_id", pa.int64()), ("most_id", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tok = TaskContext.get().partitionId(), encoder(path)
@@ -169,9 +189,9 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         def flush() -> pa.RecordBatch:
             nonlocal shard, before, held
             lengths = np.concatenate([n for _, n in parts])
-            null = np.array([d is None for d in held_ids])
+            null, known = np.array([d is None for d in held_ids]), [d for d in held_ids if d is not None]
             payload = Shard.pack(np.array([d or 0 for d in held_ids], np.int64), null, np.concatenate([x for x, _ in parts]), lengths, tok.vocab)
-            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, shard, before, int(lengths.sum()), payload), schema.types, strict=True)], schema=schema)
+            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, shard, before, int(lengths.sum()), min(known, default=None), max(known, default=None), payload), schema.types, strict=True)], schema=schema)
             shard, before, held = shard + 1, before + int(lengths.sum()), 0
             held_ids.clear()
             parts.clear()
@@ -187,7 +207,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         if parts:
             yield flush()
 
-    return run, "part long, shard long, before long, n_tokens long, payload binary"
+    return run, "part long, shard long, before long, n_tokens long, least_id long, most_id long, payload binary"
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = 1 << 19) -> DataFrame:
@@ -222,6 +242,17 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return arrow_map(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def ids_of(shards: DataFrame, doc_id: int, start: int = 0, stop: int | None = None) -> list[np.ndarray]:
+    """Ids ``start:stop`` of each document with that doc_id, from the shards whose range of ids holds it; the rest is not read."""
+    found = shards.where((F.col("least_id") <= doc_id) & (F.col("most_id") >= doc_id)).orderBy("part", "shard").select("payload")
+    out = []
+    for r in found.toLocalIterator():
+        shard = Shard(bytes(r.payload))
+        for k in np.flatnonzero((shard.doc_id == doc_id) & (shard.null == 0)).tolist():
+            out.append(shard.span(k, start, int(shard.n_tokens[k]) if stop is None else stop))
+    return out
+
+
 def op1_token_ids(spark, sf_dir: str) -> DataFrame:
     return read_documents(write_shards(table(spark, sf_dir, "documents"), vocabulary()))
 
