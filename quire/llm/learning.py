@@ -3,33 +3,41 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import mix, range_hashes
 
-#: Bounds of what a classifier is fitted on: documents of each class, and characters of one of them.
-SAMPLE_A_CLASS, SAMPLE_CHARS = 2000, 12_000
+#: Bounds of what a classifier is fitted on: labelled documents of each class and their characters (one document may
+#: exceed them), and classes (the most frequent ones).
+SAMPLE_A_CLASS, SAMPLE_CHARS, CLASSES = 2000, 12_000_000, 200
 
 
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, a_class: int = SAMPLE_A_CLASS, chars: int = SAMPLE_CHARS) -> list[tuple[int, str, object]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, a_class: int = SAMPLE_A_CLASS) -> list[tuple[int, str, object]]:
     """Up to ``a_class`` documents of each label as (doc_id, text, label), none held out, by the hash of their ids.
 
     ``labels``: doc_id, label.  Rows with a null id, text or label are left out; of
-    several labels of a document the largest counts.
+    several labels of a document the largest counts, of several texts the least.  All
+    labels are ranked in one pass: each task keeps the first of each label by hash.
     """
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    kinds = sorted(r[0] for r in known.select("label").distinct().collect())
-    ids = [tuple(r) for k in kinds for r in known.where(F.col("label") == F.lit(k)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(a_class).select("doc_id", "label").collect()]
+    kinds = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(CLASSES).collect()]
+    if not kinds:
+        return []
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    first = known.where(F.col("label").isin(kinds)).withColumn("r", rank).where(F.col("r") <= a_class)
+    sizes = docs.where("text IS NOT NULL").select("doc_id", F.length("text").alias("n")).join(F.broadcast(first), "doc_id").groupBy("doc_id", "label", "r").agg(F.max("n").alias("n"))
+    before = Window.partitionBy("label").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ids = [tuple(r) for r in sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("n") <= SAMPLE_CHARS)).select("doc_id", "label").collect()]
     if not ids:
         return []
     chosen = docs.sparkSession.createDataFrame(ids, known.select("doc_id", "label").schema)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id")
-    return sorted((r.doc_id, r.text, r.label) for r in rows.collect())
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return sorted((r.doc_id, r.text, r.label) for r in rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect())
 
 
 def joined(texts: list[str | None], pad: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -58,10 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where the setting is absent."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only with a local master and no setting."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(base)
