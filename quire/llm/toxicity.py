@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of ordinary text and one
-on the passages of toxic documents that ordinary text lacks.  A window's gain is
-how many bytes shorter it becomes when the toxic dictionary stands before the
-ordinary one.  A calibrated threshold on a document's gains makes the decision.
+on the passages of toxic documents that ordinary text lacks, joined to samples long
+enough for the trainer.  A window's gain is how many bytes shorter it becomes when the
+toxic dictionary stands before the ordinary one.  A threshold on a document's gains,
+calibrated on documents that neither dictionary has seen, makes the decision.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ WINDOW, ORDINARY_BYTES, TOXIC_BYTES, THRESHOLD = 64, 16_384, 2048, 0.3
 #: A passage is learned as toxic if words with its first bytes, so many of them, are so many times as frequent in toxic
 #: documents as in ordinary ones, where two more count as found; a word counts once for each word before it.
 GRAM, TIMES, MORE = 5, 12, 2
+#: Least bytes of a sample of passages, and the segments and grams (bytes) of the trainer that finds the frequent ones.
+SAMPLE_BYTES, SEGMENT, TRAINED_GRAM = 64, 24, 6
 
 
 @dataclass
@@ -92,10 +95,10 @@ def _evidence(gain: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(a)), np.minimum(top, 8) / 4, np.log1p(over), np.log1p(n) / 4])
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, **how) -> bytes:
     """A zstandard dictionary of ``samples``; their own last bytes where there are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[-size:]
 
@@ -114,41 +117,40 @@ def _beginnings(pairs: set[tuple[bytes, bytes]], k: int) -> Counter:
     return Counter(w[:k] for _, w in pairs if len(w) >= k)
 
 
-def _stem(word: bytes, heard: Counter) -> bytes:
-    """The word as far as more than half of the words that begin alike go on as it does."""
-    k = GRAM
-    while k < min(len(word), 32) and 2 * heard[word[: k + 1]] > heard[word[:k]]:
-        k += 1
-    return word[:k]
+def _passages(texts: list[str], odd: set[bytes]) -> list[bytes]:
+    """Samples of the words that begin like one in ``odd``, one after another; texts with the same ones count once."""
+    seen, samples, held = set(), [], b""
+    for t in texts:
+        found = b"".join(w for w in _spoken(t) if w[:GRAM] in odd)
+        if not found or found in seen:
+            continue
+        seen.add(found)
+        held += found
+        if len(held) >= SAMPLE_BYTES:
+            samples.append(held)
+            held = b""
+    return [*samples, held] if held else samples
 
 
 def train(sample: list[tuple[int, str, int]], prior: float = 0.15) -> Model:
-    """Dictionaries and calibration; without both classes the model has no dictionary and scores by the share of toxic labels."""
+    """Dictionaries and calibration; without both classes the model has no dictionary and scores by the share of toxic labels.
+
+    Every other document of each class teaches the dictionaries, the rest calibrate.
+    """
     toxic, plain = [t for _, t, y in sample if y == 1], [t for _, t, y in sample if y == 0]
     if not toxic or not plain:
         return Model(b"", b"", np.array([3.0 if toxic else -3.0, 0, 0, 0, 0, 0]))
-    data, lo, hi, _, _ = windows(plain)
+    heard, known = toxic[0::2], plain[0::2]
+    data, lo, hi, _, _ = windows(known)
     buf = data.tobytes()
-    every = max(1, len(lo) // 20_000)
-    ordinary = _trained([buf[a:b] for a, b in zip(lo[::every].tolist(), hi[::every].tolist(), strict=True)], ORDINARY_BYTES)
-    # Half of the sample teaches the toxic passages, the other half calibrates.
-    heard, begun = toxic[0::2], Counter()
-    here, there = _pairs(heard), _pairs(plain)
-    rate = len(heard) / len(plain)
-    often = _beginnings(there, GRAM)
-    odd = {g for g, n in _beginnings(here, GRAM).items() if n > TIMES * rate * (often[g] + MORE)}
-    told = [w for _, w in here if w[:GRAM] in odd]
-    for w in told:
-        begun.update(w[:k] for k in range(GRAM, min(len(w), 32) + 1))
-    stems = Counter(_stem(w, begun) for w in told)
-    for k in {len(p) for p in stems}:
-        often = _beginnings(there, k)
-        stems = Counter({p: n for p, n in stems.items() if len(p) != k or n > TIMES * rate * (often[p] + MORE)})
-    passages = [p for p, n in stems.most_common()]
-    model = Model(ordinary, b"".join(passages)[:TOXIC_BYTES], np.zeros(6))
+    ordinary = _trained([buf[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], ORDINARY_BYTES)
+    often = _beginnings(_pairs(known), GRAM)
+    rate = len(heard) / len(known)
+    odd = {g for g, n in _beginnings(_pairs(heard), GRAM).items() if n > TIMES * rate * (often[g] + MORE)}
+    model = Model(ordinary, _trained(_passages(heard, odd), TOXIC_BYTES, k=SEGMENT, d=TRAINED_GRAM, f=18, accel=1), np.zeros(6))
     rows, y = [], []
     gains = Gains(model)
-    held = [(t, 1) for t in toxic[1::2] or toxic] + [(t, 0) for t in plain]
+    held = [(t, 1) for t in toxic[1::2] or toxic] + [(t, 0) for t in plain[1::2] or plain]
     for a, b in in_slices([len(t) for t, _ in held], 1 << 20):
         d, lo, hi, i, j = windows([t for t, _ in held[a:b]])
         rows.append(_evidence(gains.of(d, lo, hi), i, j))
