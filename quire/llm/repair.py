@@ -31,13 +31,14 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
-def compress(ids: np.ndarray, doc_lengths: np.ndarray, base: int, least: int = 8, a_round: int = 6_000):
+def compress(ids: np.ndarray, doc_lengths: np.ndarray, base: int, least: int = 8, pays: float = 1 / 64, a_round: int = 6_000):
     """Symbols, symbols per document and rules (pairs; rule r is symbol ``base + r``) of one shard.
 
     A round replaces the ``a_round`` most frequent pairs among those that occur
     ``least`` times or more (a rule costs 8 bytes, an occurrence saves 2 or 4), the most
     frequent first where two share a slot; of overlapping occurrences the left one.
-    Rounds go on until no such pair is left, or no symbol of that width for a rule.
+    Rounds go on until no such pair is left, no symbol of that width for a rule, or a
+    round takes less than the share ``pays`` off the symbols.
     """
     max_rules = (1 << 16) - base if base < 1 << 16 else (1 << 31) - base
     symbol, key_type, half = (np.uint16, np.uint32, 16) if base < 1 << 16 else (np.uint32, np.uint64, 32)
@@ -48,6 +49,7 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, base: int, least: int = 8
     rules: list[np.ndarray] = []
     n_rules, bits = 0, 17
     while len(seq) > 1 and n_rules < max_rules:
+        before = len(seq)
         key = (seq[:-1].astype(key_type) << key_type(half)) | seq[1:]
         inner = ~ends[:-1]
         pairs, counts = _counted(key[inner])
@@ -76,6 +78,8 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, base: int, least: int = 8
         seq, ends = seq[keep], ends[keep]
         rules.append(np.stack([(pairs >> key_type(half)), pairs & key_type((1 << half) - 1)], 1).astype(symbol))
         n_rules += len(pairs)
+        if before - len(seq) < pays * before:
+            break
     table_ = np.concatenate(rules) if rules else np.zeros((0, 2), symbol)
     per_doc = np.zeros(len(lengths), np.int64)
     per_doc[lengths > 0] = np.diff(np.concatenate(([0], np.flatnonzero(ends) + 1)))
