@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as the formats' own scripts understand it.
 WS = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def trim(c: Column) -> Column:
@@ -37,6 +38,14 @@ def squash_spaces(c: Column) -> Column:
     return trim(F.regexp_replace(c, "[ \\t\\u00a0]+", " "))
 
 
+def page_title(html: Column) -> Column:
+    """What stands in a page's first plain ``<title>``, without blanks at its ends; four references, if they end in a semicolon, are decoded once.  Empty without one."""
+    title = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        title = F.replace(title, F.lit(f"&{name};"), F.lit(char))
+    return F.btrim(title, F.lit(BLANKS))
+
+
 def yaml_value(c: Column) -> Column:
     v = trim(F.regexp_replace(c, "[\r\n]+", " "))
     bare = v.rlike(r"^[A-Za-z0-9][A-Za-z0-9 ._/@+()–—-]*[A-Za-z0-9._/@+()]\z") | v.rlike(r"^[A-Za-z0-9]\z")

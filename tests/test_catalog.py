@@ -25,6 +25,17 @@ def test_against_sql(spark, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_titles_as_their_sql_has_them(spark, tmp_path):
+    titles = ["a&amp", "b&am", "&amp;&quot;&quo", "&amp;lt;", "&#39;&nbsp;&LT;", " \u00a0c\u3000 ", "\nd  e\t", "", "x&gt;y&lt;z"]
+    html = [f"<html><head><title>{t}</title><title>other</title></head><body><h1>h</h1></body>" for t in titles]
+    html += ["<h1>only</h1>", "<TITLE>loud</TITLE>", "<title lang=en>told</title>", "<title>a<b></title>", "", None]
+    spark.createDataFrame([(k - 3, h) for k, h in enumerate(html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    ours = [tuple(r) for r in catalog.QUERIES["html_title"](spark, str(tmp_path)).select("page_id", "title").collect()]
+    assert sorted(ours) == sorted(con.sql(catalog.ORACLE_SQL["html_title"]).fetchall()) and len(ours) == len(html)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

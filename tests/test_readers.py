@@ -30,6 +30,11 @@ def test_html():
     assert md == "# T\n\na**b**\n\n**c**d\n\n| x | y |\n| --- | --- |\n|  | z |\n\n- q\n  - w\n\n3. e"
 
 
+def test_the_reader_takes_titles_by_the_rules_of_html():
+    title = lambda data: dict(html_render.read_html(data)["frontmatter"]).get("title")
+    assert title(b"<TITLE> a&amp;&amp\n b &#39;c&amp;lt; </TITLE><p>d") == "a&& b 'c<" and title(b"<h1>only </h1>") == "only" and title(b"<p>d") is None
+
+
 def test_unclosed_bold_is_reconstructed_three_deep():
     md = html_render.read_html(b"<p><b>a<p><b>b<p><b>c<p><b>d<p>e")["markdown"]
     assert md.split("\n\n")[-1].count("*") == 12
