@@ -10,15 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
+from ..sources import page_arrays
 from ..sources import page_layout as page
 
 EDGE_ROWS, LEAST_PAGES = page.EDGE_ROWS, 3
 GAP_LINES = 1.5
+#: Items of pages that are laid out together; one page with more still counts.
+TOGETHER = 200_000
 _LINE = "text string, size double, top double, left double, right double"
 _ITEM = "struct<text:string,x:double,y:double,width:double,size:double>"
 
@@ -90,12 +95,41 @@ def without_furniture(rows: DataFrame, running: DataFrame) -> DataFrame:
     return keyed.join(running.select("doc_id", "key"), ["doc_id", "key"], "left_anti").drop("key")
 
 
+def _together(pages: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some pages at a time, with about ``TOGETHER`` items."""
+    ahead = np.cumsum(pc.fill_null(pc.list_value_length(pages.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    k = 0
+    while k < len(ahead):
+        end = max(k + 1, int(np.searchsorted(ahead, (ahead[k - 1] if k else 0) + TOGETHER, "right")))
+        yield pages.slice(k, end - k)
+        k = end
+
+
+def lines_in_order(pages: DataFrame) -> DataFrame:
+    """Lines in reading order, columns between banners: doc_id, page, line_ord (from 0) and a line's columns, of a row a page with its items (an array of text, x, y, width and size)."""
+    item = lambda i: F.struct(i["text"].alias("text"), *[i[c].cast("double").alias(c) for c in ("x", "y", "width", "size")])
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    if kinds["items"] != f"array<{_ITEM}>":
+        pages = pages.withColumn("items", F.transform("items", item))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _together(batch):
+                held = pc.fill_null(pc.list_value_length(some.column(2)), 0).to_numpy(zero_copy_only=False)
+                text, *rest = some.column(2).flatten().flatten()
+                items = page_arrays.Items(np.repeat(np.arange(len(held)), held), pc.fill_null(text.cast(pa.string()), ""), *(c.to_numpy(zero_copy_only=False) for c in rest))
+                for found in page_arrays.reading_order(items, len(held)):
+                    at, n = pa.array(found.group), np.bincount(found.group, minlength=len(held))
+                    k = np.arange(len(found.group)) - np.repeat(np.cumsum(n) - n, n)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(k, pa.int64()), found.text, *(pa.array(c, pa.float64()) for c in found[2:])], ["doc_id", "page", "line_ord", *(c for c, _ in _ARROW_LINE)])
+
+    return pages.select("doc_id", "page", "items").mapInArrow(task, f"doc_id {kinds['doc_id']}, page {kinds['page']}, line_ord long, {_LINE}")
+
+
 def reading_order(rows: DataFrame) -> DataFrame:
-    """Lines in reading order, columns between banners: doc_id, page, line_ord and a line's columns, of rows with their items."""
+    """``lines_in_order`` of rows with their items, what is left of ``page_rows``."""
     back = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("row_ord", "items"))).alias("rows"))
-    back = back.select("doc_id", "page", F.flatten(F.transform("rows", lambda r: r["items"])).alias("items"))
-    run = lambda found: [(k, *x) for k, x in enumerate(page.reading_order(found))]
-    return _each_page(back, run, f"line_ord long, {_LINE}", pa.schema([("line_ord", pa.int64()), *_ARROW_LINE]))
+    return lines_in_order(back.select("doc_id", "page", F.flatten(F.transform("rows", lambda r: r["items"])).alias("items")))
 
 
 def page_columns(items: DataFrame) -> DataFrame:

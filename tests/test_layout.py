@@ -1,7 +1,13 @@
+import random
+
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quire import catalog, catalog_layout  # noqa: F401
 from quire.plans import layout, ocr
+from quire.sources import page_arrays
 from quire.sources import page_layout as page
 from quire.sources import pdf, pdf_fonts, pdf_objects, png, recognition
 from quire.sources.image import image_format, read_image
@@ -59,6 +65,54 @@ def test_relational_layout_equals_one_document(spark):
     assert got.replace("\n\n", "\n").split("\n") == want and "Head" not in got
 
 
+def _any_page(r: random.Random) -> list[Item]:
+    """Items anywhere, or columns with holes, steps, blanks, and now and then lines across them."""
+    text = lambda: r.choice(["a", "bb", " c", "d ", " ", "", "\u2003", "é", "x y", "ü\u00a0"])
+    if r.random() < 0.2:
+        return [Item(text(), r.choice([72.0, r.uniform(0, 500)]), r.choice([r.uniform(0, 700), 14.0 * r.randrange(20)]), r.choice([0.0, r.uniform(0, 90)]), r.uniform(1, 30)) for _ in range(r.randrange(60))]
+    wide, parts, full = r.choice([100.0, 140.0, 200.0]), r.randrange(1, 4), r.choice([0.3, 0.9, 1])
+    pitch = wide + r.choice([4, 8, 20, 58])
+    out = [Item(text(), 72 + c * pitch + k * wide / parts, 760.0 - 14 * n + r.choice([0, 0, 3.5]), wide / parts - r.choice([0, 3, 9]), r.choice([10.0, 10.0, 14.0])) for n in range(r.randrange(8, 40)) for c in range(r.randrange(2, 5)) for k in range(parts) if r.random() < full]
+    out += [Item("across", 72.0 + r.choice([0, 200]), r.uniform(200, 800), r.choice([300.0, 458.0]), 14.0) for _ in range(r.choice([0, 0, 1, 3]))]
+    return r.sample(out, len(out)) if r.random() < 0.5 else out
+
+
+@pytest.mark.parametrize("cells", [900, page_arrays.CELLS])
+def test_many_pages_at_once_equal_each_page_alone(monkeypatch, cells):
+    monkeypatch.setattr(page_arrays, "CELLS", cells)
+    r = random.Random(7)
+    for size in (0, 1, 150, 150):
+        pages = [_any_page(r) for _ in range(size)]
+        every = [i for p in pages for i in p]
+        items = page_arrays.Items(np.repeat(np.arange(size), [len(p) for p in pages]).astype(int), pa.array([i.text for i in every], pa.string()), *(np.array([i[c] for i in every], float) for c in range(1, 5)))
+        got: dict[int, list] = {}
+        for found in page_arrays.reading_order(items, size):
+            for k, *x in zip(found.group.tolist(), found.text.to_pylist(), *(c.tolist() for c in found[2:]), strict=True):
+                got.setdefault(k, []).append(page.Line(*x))
+        assert [got.get(k, []) for k in range(size)] == [page.reading_order(p) for p in pages]
+
+
+def test_lines_in_order_take_pages_apart_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TOGETHER", 40)
+    rows = [(7, p, [(i.text, *map(float, i[1:])) for i in _columns(p % 2 == 1)]) for p in range(5)] + [(8, 0, []), (8, 1, None), (8, 2, [(None, 1.0, 1.0, 1.0, 1.0), ("x", 1.0, 1.0, 1.0, 1.0)])]
+    pages = spark.createDataFrame(rows, "doc_id long, page long, items array<struct<text:string,x:double,y:double,width:double,size:double>>").coalesce(1)
+    got = sorted((r.doc_id, r.page, r.line_ord, r.text) for r in layout.lines_in_order(pages).collect())
+    assert got == [(7, p, k, x.text) for p in range(5) for k, x in enumerate(page.reading_order(_columns(p % 2 == 1)))] + [(8, 2, 0, "x")]
+
+
+def test_columns_of_words_are_laid_out_without_a_shuffle_and_equal_their_sql(spark, tmp_path):
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    texts = [(k, words(n)) for k, n in enumerate((1, 40, 41, 54, 55, 80, 81, 135, 400))] + [(20, ""), (21, None), (22, " \t\n"), (23, "é — ü"), (None, words(60)), (-1, words(160)), (-1, words(160))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours = catalog.QUERIES["pdf_columns"](spark, str(tmp_path))
+    assert "Exchange" not in ours._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = con.sql("SELECT doc_id, page, line_ord, text FROM (" + catalog.ORACLE_SQL["pdf_columns"] + ")").fetchall()
+    assert sorted(map(tuple, ours.collect()), key=key) == sorted(want, key=key)
+
+
 def _line(text, y, x1=100, x0=10, conf=90, word=20):
     box = {"x0": x0, "y0": y, "x1": x1, "y1": y + 10}
     return {"text": text, "confidence": conf, "bbox": box, "words": [{"text": text, "bbox": {**box, "x1": x0 + word}}]}
