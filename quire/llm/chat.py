@@ -7,17 +7,13 @@ and each path becomes one text with a loss mask over its assistant turns.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pii import let, running
-from .store import table, written
+from .store import Parts, table, written
 
 HEAD, COLON, TAIL = "### ", ": ", "</turn>"
-#: Longest path is 2 to this power; rows still without a root are on a cycle of replies and have no path.
-MAX_ROUNDS = 40
 
 
 def escaped(text: Column) -> Column:
@@ -39,23 +35,30 @@ def _role(written_role: Column) -> Column:
     return unescaped(F.replace(written_role, F.lit(":\\s"), F.lit(COLON)))
 
 
-def _paths(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Rounds of pointer doubling, and the depth and path score of every node that has a root.
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides are never broadcast: small tables of rounds compress well, and the driver would hold each in full."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _paths(nodes: DataFrame) -> tuple[Parts, int]:
+    """A part a round of pointer doubling (tree_id, node_id, jump, depth, total, round), and the number of rounds that have jumps.
 
-    Round k holds the nodes with an ancestor 2^k up (``jump``); a node whose root is
-    reached is not joined again, so the rows of a round fall with the trees' depth.
+    Round k holds the nodes with an ancestor 2^k up (``jump``), and those whose root
+    was reached in it (no jump, depth and path score in full); the latter are not joined
+    again, so the rows of a round fall with the trees' depth.  No path has more jumps than
+    there are replies: rows without a root by then are on a cycle of replies, or lead into one.
     """
-    columns = ["tree_id", "node_id", "jump", "depth", "total"]
-    state = written(nodes.select("tree_id", "node_id", F.col("parent_id").alias("jump"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")), "paths")
-    done, live, rounds = [state.where("jump IS NULL")], state.where("jump IS NOT NULL"), []
-    while len(rounds) <= MAX_ROUNDS and not live.isEmpty():
-        rounds.append(live)
-        up = reduce(DataFrame.union, [*done, live]).select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
-        on = live.join(up, ["tree_id", "jump"]).select("tree_id", "node_id", F.col("next").alias("jump"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"))
-        state = written(on.select(columns), "paths")
-        done.append(state.where("jump IS NULL"))
-        live = state.where("jump IS NOT NULL")
-    return rounds, reduce(DataFrame.union, done)
+    columns = ["tree_id", "node_id", "jump", "depth", "total", "round"]
+    first = nodes.select("tree_id", "node_id", F.col("parent_id").alias("jump"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.lit(0).alias("round"))
+    states = Parts(nodes.sparkSession, "paths", first.schema)
+    states.add(first)
+    replies, k = states.rows(0).where("jump IS NOT NULL").count(), 0
+    while 1 << k <= replies and not (live := states.rows(k).where("jump IS NOT NULL")).isEmpty():
+        up = states.rows().where(f"jump IS NULL OR round = {k}").select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
+        on = _joined(live, up, ["tree_id", "jump"])
+        states.add(on.select("tree_id", "node_id", F.col("next").alias("jump"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"), F.lit(k + 1).alias("round")).select(columns))
+        k += 1
+    return states, k
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -78,21 +81,24 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """
     nodes = _keyed(nodes)
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
-    nodes = nodes.join(known, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id")))
+    nodes = _joined(nodes, known, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id")))
     nodes = written(nodes.select("tree_id", "node_id", "parent_id", "score"), "nodes")
-    rounds, rooted = _paths(nodes)
+    states, rounds = _paths(nodes)
+    rooted = states.rows().where("jump IS NULL")
     replied = nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    leaves = rooted.join(replied, ["tree_id", "node_id"], "left_anti")
+    leaves = _joined(rooted, replied, ["tree_id", "node_id"], "left_anti")
     leaves = leaves.withColumn("mean", F.col("total") / F.col("depth"))
     order = [F.desc("mean"), "node_id"]
     part = F.pmod(F.xxhash64("node_id"), F.lit(64))  # a tree's leaves are ranked in parts first
     leaves = leaves.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("tree_id", "part").orderBy(*order))).where(F.col("r") <= top)
     leaves = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree_id").orderBy(*order))).where(F.col("branch") <= top)
-    members = written(leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "branch", "depth", "node_id", F.lit(0).cast("long").alias("up")), "members")
-    for k, step in enumerate(rounds):
-        jumps = step.select("tree_id", "node_id", "jump")
-        further = members.join(jumps, ["tree_id", "node_id"]).select("tree_id", "leaf_id", "branch", "depth", F.col("jump").alias("node_id"), (F.col("up") + (1 << k)).alias("up"))
-        members = written(members.unionByName(further), "members")
+    leaves = leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "branch", "depth", "node_id", F.lit(0).cast("long").alias("up"))
+    members = Parts(nodes.sparkSession, "members", leaves.schema)
+    members.add(leaves)
+    for k in reversed(range(rounds)):  # a distance is a sum of powers of two, the largest first: a jump starts from the few nodes found so far
+        jumps = states.rows(k).where("jump IS NOT NULL").select("tree_id", "node_id", "jump")
+        members.add(_joined(members.rows(), jumps, ["tree_id", "node_id"]).select("tree_id", "leaf_id", "branch", "depth", F.col("jump").alias("node_id"), (F.col("up") + (1 << k)).alias("up")))
+    members = members.rows()
     return _unkeyed(members.select("tree_id", "leaf_id", "branch", (F.col("depth") - F.col("up")).alias("pos"), "node_id"))
 
 
@@ -101,7 +107,7 @@ def format_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``nodes``: tree_id, node_id, role, text; null roles and texts count as empty.
     """
-    turns = _keyed(paths).join(_keyed(nodes.select("tree_id", "node_id", "role", "text")), ["tree_id", "node_id"])
+    turns = _joined(_keyed(paths), _keyed(nodes.select("tree_id", "node_id", "role", "text")), ["tree_id", "node_id"])
     turn = F.struct("pos", _header(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), (F.coalesce("role", F.lit("")) == "assistant").alias("learn"))
     out = turns.groupBy("tree_id", "leaf_id", "branch").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     size = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(TAIL) + 1

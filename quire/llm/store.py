@@ -79,5 +79,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """A table that grows by parts in the shared folder: whatever their number, ``rows`` is one scan, so plans do not grow with it."""
+
+    def __init__(self, spark: SparkSession, label: str, schema):
+        _small_batches(spark)
+        self.spark, self.schema, self.path, self.n = spark, schema, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/{self.n}")
+        self.n += 1
+
+    def rows(self, *parts: int) -> DataFrame:
+        """The rows of these parts, of all without any."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{k}" for k in parts or range(self.n)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

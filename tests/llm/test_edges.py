@@ -74,6 +74,24 @@ def test_chat_keeps_null_conversations(spark, monkeypatch):
     assert [r.conv_id for r in chat.op3_chat(spark, "").collect()] == [-7]
 
 
+def test_chat_plans_do_not_grow_with_its_rounds(spark, monkeypatch):
+    """A plan of a round that reads every earlier round, or a side that is broadcast, fills the driver."""
+    plans, write = [], type(spark.range(1).write).parquet
+
+    def seen(self, *args, **named):
+        run = self._df._jdf.queryExecution()
+        plans.append((run.optimizedPlan().collectLeaves().size(), run.sparkPlan().toString()))
+        return write(self, *args, **named)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", seen)
+    told = [(c, t, "user" if t % 2 else "assistant", f"{c} {t}") for c, n in ((1, 70), (2, 3), (3, 1)) for t in range(n)]
+    monkeypatch.setattr(chat, "table", lambda *_: rows(spark, told, "conv_id long, turn long, role string, text string"))
+    out = chat.op3_chat(spark, "")
+    assert {r.conv_id: r.n_turns for r in out.collect()} == {1: 70, 2: 3, 3: 1, -7: 2}
+    plans.append((out._jdf.queryExecution().optimizedPlan().collectLeaves().size(), out._jdf.queryExecution().sparkPlan().toString()))
+    assert max(n for n, _ in plans) <= 2 and not any("Broadcast" in plan for _, plan in plans)
+
+
 def test_chat_branches_and_ties(spark):
     """Every root-to-leaf path by plain Python: mean score, then the smaller leaf."""
     rng = random.Random(3)
